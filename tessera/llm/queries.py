@@ -5,18 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, quality
+from .common import fold, table
 from .minhash import near_duplicates
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    net, names = langid.fit(docs.where(~held).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, net, names)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: shingles of 4 words, similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from four fifths of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    known = labels.where(~held).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, known)
+    found = quality.score(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op9_minhash": op9_minhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
