@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, quality, toxicity
 from .common import fold, table
 from .minhash import near_duplicates
 
@@ -21,6 +21,17 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from two thirds of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held).select("doc_id", F.col("toxic").alias("label")))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages")
+    )
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: shingles of 4 words, similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -38,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op4_toxicity": op4_toxicity,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
 }
