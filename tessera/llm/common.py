@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +91,28 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null reads as empty."""
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
+
+
+#: Bits of a fixed-size filter over 64-bit hashes (8 MB, whatever the number of hashes).
+FILTER_BITS = 1 << 26
+
+
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """The filter of a one-column frame of well-mixed 64-bit hashes, built with map-side combining."""
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_BITS)) + 1  # bucket k holds (k - 1) * 32768 + 1 and on
+    parts = (
+        hashes.select(slot.alias("b"))
+        .groupBy(F.bitmap_bucket_number("b").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+        .collect()
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, held in parts:
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(held), np.uint8)
+    return bits
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False only for 64-bit hashes that the filter doesn't hold."""
+    x = hashes.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return ((bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

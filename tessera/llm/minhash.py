@@ -29,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, map_arrow, materialize
+from .common import drop_materialized, filter_of, in_filter, map_arrow, materialize
 from .components import components
 from .texthash import U, mix, shingle_sets
 
-#: Bits of the fixed-size filter that picks the texts to be compared (8 MB).
-FILTER_BITS = 1 << 26
 #: Rows of a bucket that are compared as one block.
 BLOCK = 2000
 
@@ -107,39 +105,20 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, schema, rows=500)
 
 
-def _bit(col: str) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_BITS))
-
-
 def _only_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df whose doc_id is probably among ids (column doc_id); never loses one.
 
-    A bitmap of a fixed 8 MB is built with map-side combining and sent to the tasks,
-    so that the texts of documents without any candidate are never shuffled.
+    A filter of a fixed 8 MB is sent to the tasks, so that the texts of documents
+    without any candidate are never shuffled.
     """
-    parts = (
-        ids.select(_bit("doc_id").alias("b"))
-        .groupBy(F.bitmap_bucket_number("b").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-        .collect()
-    )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, held in parts:
-        # bucket 1 covers 1..32768 and so on; bucket 0 would hold 0 alone
-        at = (bucket - 1) * 4096
-        if 0 <= at < len(bits):
-            got = np.frombuffer(bytes(held), np.uint8)
-            bits[at : at + len(got)] |= got
-    zero = any(bucket == 0 for bucket, _ in parts)
-    spread = df.sparkSession.sparkContext.broadcast(bits)
+    hashed = F.xxhash64("doc_id")
+    spread = df.sparkSession.sparkContext.broadcast(filter_of(ids.select(hashed.alias("h"))))
 
     @F.pandas_udf("boolean")
-    def maybe(b: pd.Series) -> pd.Series:
-        x = b.to_numpy(np.int64) - 1  # bit_position(x) is (x - 1) % 32768
-        hit = (spread.value[x >> 3] >> (x & 7)) & 1
-        return pd.Series(np.where(x < 0, zero, hit > 0))
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(spread.value, h.to_numpy(np.int64)))
 
-    return df.where(F.col("doc_id").isNotNull()).where(maybe(_bit("doc_id")))
+    return df.where(F.col("doc_id").isNotNull()).where(maybe(hashed))
 
 
 def _alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import decontaminate, langid, mixing, quality, secrets, toxicity
 from .common import fold, table
 from .minhash import near_duplicates
 
@@ -21,6 +21,14 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the fixed patterns and tokens that pass as random."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+    told = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], "base_sha256", told.alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document, learned from two thirds of the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -32,6 +40,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' schedule at 97 % of the sources' greatest entropy, four repetitions at most."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "place")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: shingles of 4 words, similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -49,7 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
 }
