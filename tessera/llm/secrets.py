@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, texts_of
+from .common import drop_materialized, map_arrow, materialize, texts_of
 
 #: The base patterns, letters of the first in either case, with the least length of group or match.
 PATTERNS = (
@@ -187,11 +187,8 @@ def _thresholds(found: DataFrame) -> list[float]:
     return out
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, base array, found array (both struct<start, end, kind>), base_sha256.
-
-    found holds the base spans and the random tokens, by start.
-    """
+def _scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans, tested candidates and the base spans' digest of each document, materialized."""
     span = "array<struct<start:long,end:long,kind:string>>"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,7 +205,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         )
 
     schema = f"doc_id long, base {span}, candidates array<struct<start:long,end:long,encoding:string,depth:double>>, base_sha256 string"
-    found = materialize(map_arrow(docs.select("doc_id", "text"), run, schema, rows=1000), "spans")
+    return materialize(map_arrow(docs.select("doc_id", "text"), run, schema, rows=1000), "spans")
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, base array, found array (both struct<start, end, kind>), base_sha256.
+
+    found holds the base spans and the random tokens, by start.
+    """
+    found = _scanned(docs)
     limits = F.array(*[F.lit(x) for x in _thresholds(found)])
     random = F.transform(
         F.filter("candidates", lambda c: c.depth >= F.get(limits, _length_class(c.end - c.start))),
@@ -218,3 +223,44 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     keyed = F.transform(F.concat("base", random), lambda s: F.struct(s.start.alias("start"), rank(s).alias("r"), s.end.alias("end"), s.kind.alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
     return found.select("doc_id", "base", ordered.alias("found"), "base_sha256")
+
+
+def covered(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span, and each run of overlapping ones, replaced by `[kind]`."""
+    out, at = [], 0
+    for a, z, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))):
+        if a >= at:
+            out += [text[at:a], f"[{kind}]"]
+        at = max(at, z)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns: secrets are replaced in text, and n_chars follows where it is there.
+
+    The thresholds come from a pass over all documents; the second pass replaces in
+    place, so that no text is shuffled.  Texts without secrets stay as they are.
+    """
+    scanned = _scanned(docs)
+    limits = _thresholds(scanned)
+    drop_materialized(scanned)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        for k, text in enumerate(texts):
+            if text:
+                spans = base_spans(text)
+                for c in candidates(text, spans):
+                    size = c["end"] - c["start"]
+                    if c["depth"] >= limits[max(i for i, s in enumerate(LENGTHS) if size >= s)]:
+                        spans.append((c["start"], c["end"], "random"))
+                if spans:
+                    texts[k] = covered(text, spans)
+        place = batch.schema.get_field_index("text")
+        out = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+        if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            sizes = [old if text is None else len(text) for text, old in zip(texts, batch.column("n_chars").to_pylist(), strict=True)]
+            out = out.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
+        return out
+
+    return map_arrow(docs, run, docs.schema, rows=1000)

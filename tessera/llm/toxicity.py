@@ -207,6 +207,36 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
     return {"counts": weights.counts, "docs": docs_of, "rate": exponent, "scale": scale, "curve": curve, "total": total}
 
 
+class Scorer:
+    """Scores texts with a model; one for each Python worker."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.weights = None if "share" in model else Weights(model["counts"], model["docs"])
+
+    def __call__(self, texts: list[str], told: bool) -> tuple[np.ndarray, list[list[dict]]]:
+        """Probabilities, and the significant passages if asked for."""
+        held = self.model
+        if self.weights is None:
+            return np.full(len(texts), float(held["share"])), [[] for _ in texts]
+        look, weights = self.weights.memo.get, self.weights
+        best, top, passages = [], [], []
+        for text in texts:
+            lower = text.lower()
+            words = _WORD.findall(lower)
+            found = segments(np.array([s if (s := look(w)) is not None else weights[w] for w in words])) if words else []
+            b, t = _summary(found, len(words), held["rate"], held["scale"])
+            best.append(b)
+            top.append(t)
+            if told:
+                good = [(a, z, s, e) for a, z, s in found if (e := held["scale"] * len(words) * math.exp(-held["rate"] * s)) <= EXPECTED]
+                # lower-casing changes the length of a few letters; positions are of the text itself
+                spans = [m.span() for m in _WORD.finditer(text if len(lower) == len(text) else lower)] if good else []
+                passages.append([{"start": spans[a][0], "end": spans[z - 1][1], "score": s, "expected": e} for a, z, s, e in good])
+        f = _shape(np.array(best), np.array(top))
+        return 1 / (1 + np.exp(-np.clip(f @ held["curve"][:-1] + held["curve"][-1], -30, 30))), passages
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score, passages array<struct<start, end, score, expected>>.
 
@@ -214,34 +244,28 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
-    own: list[Weights] = []  # one for each Python worker
+    own: list[Scorer] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = spread.value
-        ids = batch.column("doc_id").cast(pa.int64())
-        if "share" in held:
-            return pa.RecordBatch.from_arrays([ids, pa.array([float(held["share"])] * batch.num_rows, pa.float64()), pa.array([[]] * batch.num_rows, pa.list_(passage))], ["doc_id", "score", "passages"])
         if not own:
-            own.append(Weights(held["counts"], held["docs"]))
-        look = own[0].memo.get
-        best, top, passages = [], [], []
-        for text in texts_of(batch):
-            lower = text.lower()
-            words = _WORD.findall(lower)
-            scores = np.array([s if (s := look(w)) is not None else own[0][w] for w in words])
-            found = segments(scores) if len(words) else []
-            b, t = _summary(found, len(words), held["rate"], held["scale"])
-            best.append(b)
-            top.append(t)
-            told = [(a, z, s, e) for a, z, s in found if (e := held["scale"] * len(words) * math.exp(-held["rate"] * s)) <= EXPECTED]
-            if told:
-                # lower-casing changes the length of a few letters; positions are of the text itself
-                spans = [m.span() for m in _WORD.finditer(text if len(lower) == len(text) else lower)]
-                told = [{"start": spans[a][0], "end": spans[z - 1][1], "score": s, "expected": e} for a, z, s, e in told]
-            passages.append(told)
-        f = _shape(np.array(best), np.array(top))
-        p = 1 / (1 + np.exp(-np.clip(f @ held["curve"][:-1] + held["curve"][-1], -30, 30)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array(passages, pa.list_(passage))], ["doc_id", "score", "passages"])
+            own.append(Scorer(spread.value))
+        p, passages = own[0](texts_of(batch), True)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), pa.array(p, pa.float64()), pa.array(passages, pa.list_(passage))], ["doc_id", "score", "passages"]
+        )
 
     schema = "doc_id long, score double, passages array<struct<start:long,end:long,score:double,expected:double>>"
     return map_arrow(docs.select("doc_id", "text"), run, schema, rows=500)
+
+
+def without_toxic(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all columns, whose score is below the threshold."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+    own: list[Scorer] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not own:
+            own.append(Scorer(spread.value))
+        return batch.filter(pa.array(own[0](texts_of(batch), False)[0] < threshold))
+
+    return map_arrow(docs, run, docs.schema, rows=500)
