@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import algebra, categories, models, statistics, transfers  # noqa: F401  each registers its queries
+from .registry import ORACLE_SQL, QUERIES, Query
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.stat_moments_adjusted(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL
