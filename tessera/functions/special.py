@@ -65,4 +65,5 @@ def normal_quantile(p: Column) -> Column:
     from statistics import NormalDist
 
     edge = {0.0: -math.inf, 1.0: math.inf}
-    return _udf(lambda v: edge[v] if v in edge else NormalDist().inv_cdf(v) if 0 < v < 1 else math.nan)(p.cast("double"))
+    found = _udf(lambda v: edge[v] if v in edge else NormalDist().inv_cdf(v) if 0 < v < 1 else math.nan)(p.cast("double"))
+    return F.when(p.isNotNull(), F.coalesce(found, F.lit(math.nan)))  # Arrow gives NaN back as null
