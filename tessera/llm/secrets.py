@@ -115,11 +115,13 @@ def _class(c: str) -> int:
 def ordinary(token: str) -> float:
     """Probability that an ordinary token of this length changes class as often.
 
-    A capital followed by small letters is ordinary and no change.
+    A capital followed by small letters is ordinary and no change, and neither are the
+    borders of the parts that other characters join, as in paths and snake case.
     """
-    kinds = [_class(c) for c in token.rstrip("=")]
-    changes = sum(x != y and not (x == 1 and y == 0) for x, y in zip(kinds, kinds[1:], strict=False))
-    n, logs = len(kinds) - 1, []
+    kinds = [_class(c) for c in token]
+    pairs = [(x, y) for x, y in zip(kinds, kinds[1:], strict=False) if x < 3 and y < 3]
+    changes = sum(x != y and not (x == 1 and y == 0) for x, y in pairs)
+    n, logs = len(pairs), []
     for k in range(changes, n + 1):
         logs.append(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(CHANGE) + (n - k) * math.log(1 - CHANGE))
     return min(1.0, sum(math.exp(x) for x in logs))
