@@ -1,8 +1,8 @@
 """Toxic passages: maximum-scoring segments of token log-odds, calibrated as extreme values.
 
 A token's weight is its log-odds between toxic and clean labelled documents under a
-Dirichlet prior, moved towards 0 by two standard errors; a token unknown as a whole
-falls back on its longest known beginning.  Weightless tokens cost a small drift, so
+Dirichlet prior, moved towards 0 by standard errors; what is left below a least
+weight counts as none, so that common words don't add up.  Weightless tokens cost a small drift, so
 that random text has a falling score.  One linear scan finds all disjoint maximal
 segments.  Their significance follows the extreme-value law of maximal segment
 scores: exp(-lambda S) K n, with lambda the root of E[exp(lambda s)] = 1 over clean
@@ -30,10 +30,8 @@ from .quality import logistic
 
 #: Labelled rows used per class, and tokens kept, at most.
 BOUND, VOCABULARY = 5000, 50_000
-#: Cost of a token without weight; standard errors taken off; least letters of a beginning.
-DRIFT, ERRORS, STEM = 0.05, 1.5, 5
-#: Weights that stay below this are none: common words of either class, however often they repeat.
-LEAST = 0.7
+#: Cost of a token without weight; standard errors taken off; least weight.
+DRIFT, ERRORS, LEAST = 0.05, 1.5, 2.0
 #: Significance of a reported passage: the expected number of such in a clean text.
 EXPECTED = 0.05
 
@@ -49,41 +47,24 @@ def _odds(toxic: float, clean: float, docs: tuple[int, int]) -> float:
     return math.copysign(left, delta) if left >= LEAST else 0.0
 
 
-def _parts(word: str) -> list[str]:
-    """The token and its beginnings, longest first; a beginning ends in `*`."""
-    return [word, *(word[:n] + "*" for n in range(len(word) - 1, STEM - 1, -1))]
-
-
 class Weights:
-    """Token weights with back-off to beginnings; looks each new token up once."""
+    """Token weights; tokens without one cost the drift."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], docs: tuple[int, int]):
         self.counts, self.docs = counts, docs
-        self.known = {w: _odds(*c, docs) for w, c in counts.items()}
-        self.memo: dict[str, float] = {}
-
-    def __getitem__(self, word: str) -> float:
-        got = self.memo.get(word)
-        if got is None:
-            got = next((self.known[p] for p in _parts(word) if p in self.known), 0.0) or -DRIFT
-            if len(self.memo) > 500_000:  # bounds memory; refilled by use
-                self.memo.clear()
-            self.memo[word] = got
-        return got
-
-    def without(self, words: set[str], toxic: bool) -> dict[str, float]:
-        """Weights of these words with one document, that held them all, taken out."""
+        self.known = {w: _odds(*c, docs) or -DRIFT for w, c in counts.items()}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        get = self.known.get
+        return np.array([get(w, -DRIFT) for w in words])
+
+    def without(self, words: list[str], toxic: bool) -> np.ndarray:
+        """Scores of a document's words with the document itself taken out of the counts."""
         out, docs = {}, (self.docs[0] - toxic, self.docs[1] - (not toxic))
-        for w in words:
-            found = 0.0
-            for p in _parts(w):
-                if c := self.counts.get(p):
-                    left = (c[0] - toxic, c[1] - (not toxic))
-                    if sum(left) >= 2:
-                        found = _odds(*left, docs)
-                        break
-            out[w] = found or -DRIFT
-        return out
+        for w in set(words):
+            c = self.counts.get(w)
+            out[w] = (_odds(c[0] - toxic, c[1] - (not toxic), docs) if c else 0.0) or -DRIFT
+        return np.array([out[w] for w in words])
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -153,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, label = [], []
         for text, y in zip(texts_of(batch), batch.column("label").to_pylist(), strict=True):
-            parts = {p for w in set(_WORD.findall(text.lower())) for p in _parts(w[:64])}
+            parts = set(_WORD.findall(text.lower()))
             parts.add("")  # counts the documents
             found += parts
             label += [y] * len(parts)
@@ -175,9 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
         own = Weights(*spread.value)
         label, size, best, sums, cells, minus = batch.column("label").to_pylist(), [], [], [], [], []
         for text, y in zip(texts_of(batch), label, strict=True):
-            words = [w[:64] for w in _WORD.findall(text.lower())]
-            table = own.without(set(words), bool(y))
-            scores = np.array([table[w] for w in words])
+            words = _WORD.findall(text.lower())
+            scores = own.without(words, bool(y))
             found = segments(scores) if words else []
             size.append(len(words))
             best.append([s for _, _, s in found])
@@ -219,12 +199,11 @@ class Scorer:
         held = self.model
         if self.weights is None:
             return np.full(len(texts), float(held["share"])), [[] for _ in texts]
-        look, weights = self.weights.memo.get, self.weights
         best, top, passages = [], [], []
         for text in texts:
             lower = text.lower()
             words = _WORD.findall(lower)
-            found = segments(np.array([s if (s := look(w)) is not None else weights[w] for w in words])) if words else []
+            found = segments(self.weights.scores(words)) if words else []
             b, t = _summary(found, len(words), held["rate"], held["scale"])
             best.append(b)
             top.append(t)
