@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import INF
+from .frames import INF, with_row_id, with_running
 
 
 @dataclass(frozen=True)
@@ -158,12 +158,14 @@ def bins(df: DataFrame, numeric: str, target: str) -> DataFrame:
 def blocks(df: DataFrame, numeric: str, target: str) -> DataFrame:
     """Runs of neighbouring pure values of one target merge: block, low, high, n, target (null: mixed).
 
-    The windows run over distinct values, one row each.
+    Distinct values are numbered range by range and meet their neighbour by number, so a
+    column of as many values as rows needs no task for all of them.
     """
-    by = Window.orderBy("value")
-    b = bins(df, numeric, target).select("value", "n", "pure")
-    new = F.when(F.col("pure").isNotNull() & F.coalesce(F.lag("pure").over(by) == F.col("pure"), F.lit(False)), 0).otherwise(1)
-    numbered = b.withColumn("_new", new).withColumn("block", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    b = with_row_id(bins(df, numeric, target).select("value", "n", "pure"), ["value"], "_k")
+    before = b.select((F.col("_k") + 1).alias("_k"), F.col("pure").alias("_before"))
+    same = F.coalesce(F.col("pure") == F.col("_before"), F.lit(False))
+    flagged = b.join(before, "_k", "left").select("value", "n", "pure", F.when(same, 0).otherwise(1).cast("long").alias("_new"))
+    numbered = with_running(flagged, ["value"], {"block": F.col("_new")}).withColumn("block", F.col("block") - 1)
     return numbered.groupBy("block").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("n"), F.first("pure").alias("target"))
 
 

@@ -36,19 +36,25 @@ def unpivot_row(row: DataFrame, columns: Sequence[str], fields: Sequence[str], n
     return row.select(F.explode(F.array(*items)).alias("_p")).select("_p.*")
 
 
-def with_row_id(df: DataFrame, order: Sequence[str | Column], name: str = "row_id", start: int = 0) -> DataFrame:
-    """Number the rows by `order` without passing all of them through one task.
+def with_running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums (the row's own term included) along `order`, without one task for all rows.
 
     Rows are dealt by ranges of the order and kept so (a checkpoint); each range is
-    numbered on its own, after the sizes of the ranges before it.
+    summed on its own, upon the totals of the ranges before it.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    terms = {f"_t_{k}": c for k, c in sums.items()}
+    dealt = cut_lineage(df.withColumns(terms).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_t_{k}").alias(f"_b_{k}") for k in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_part").orderBy(*order)
-    numbered = dealt.withColumn("_k", F.row_number().over(own)).join(F.broadcast(offsets), "_part")
-    return numbered.withColumn(name, F.col("_before") + F.col("_k") - 1 + F.lit(start)).drop("_part", "_k", "_before")
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_b_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({f"_t_{k}": F.sum(f"_t_{k}").over(own) for k in sums}).join(F.broadcast(offsets), "_part")
+    return summed.withColumns({k: F.col(f"_t_{k}") + F.col(f"_b_{k}") for k in sums}).drop("_part", *terms, *[f"_b_{k}" for k in sums])
+
+
+def with_row_id(df: DataFrame, order: Sequence[str | Column], name: str = "row_id", start: int = 0) -> DataFrame:
+    """Number the rows by `order`, range by range."""
+    return with_running(df, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1 + start)
 
 
 def ieee_divide(a: Column, b: Column) -> Column:

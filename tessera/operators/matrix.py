@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import NAN, ieee_divide
+from .frames import NAN, ieee_divide, with_row_id
 
 #: Largest side of a matrix that is brought to the driver.
 DRIVER_SIDE = 4096
@@ -408,10 +408,12 @@ class Matrix:
         return held.select("i", F.col("r.v").alias("row"))
 
     def ordered_rows(self) -> DataFrame:
-        """Distinct rows in shortlex order with the rows that hold them: position, row, members."""
+        """Distinct rows in order with the rows that hold them: position, row, members.
+
+        Rows of a matrix are of one length, for which shortlex is the order of arrays.
+        """
         grouped = self.rows().groupBy("row").agg(F.array_sort(F.collect_list("i")).alias("members"))
-        w = Window.orderBy(F.size("row"), "row")
-        return grouped.select((F.row_number().over(w) - 1).alias("position"), "row", "members")
+        return with_row_id(grouped, ["row"], "position").select("position", "row", "members")
 
 
 def right_inverse(right: np.ndarray) -> np.ndarray:

@@ -157,6 +157,8 @@ def row_covariance(coord: DataFrame, n_cols: int, adjust: bool = False) -> DataF
 
 #: Half the width, in probability, of the bracket in which an order statistic is looked for, and the sketch's accuracy.
 _BRACKET, _ACCURACY = 0.002, 2000
+#: Groups whose brackets are broadcast; with more of them they are joined.
+_GROUPS = 10_000
 
 
 def quantile(df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
@@ -188,6 +190,9 @@ def quantile(df: DataFrame, value: str, probabilities: Sequence[float], groups:
         "_hi": F.when(F.col("_n") < 5000, F.array_repeat(F.col("_max"), len(probs))).otherwise(F.col("_hi")),
     })
     sketch = sketch.select([F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] + ["_n", "_lo", "_hi"])
+    held = sketch.limit(_GROUPS + 1).collect()
+    if len(held) <= _GROUPS:
+        sketch = F.broadcast(df.sparkSession.createDataFrame(held, sketch.schema))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = data.join(sketch, same)
     # a value's place in every bracket: below (counted) or inside (ordered)

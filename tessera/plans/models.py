@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import distributions as dist
 from tessera.functions import numeric, randoms, special
 from tessera.operators import categorical, clusters, crossentropy, multivariate
-from tessera.operators.frames import table
+from tessera.operators.frames import table, with_row_id
 from tessera.operators.partition import distances
 from tessera.operators.sampling import UnequalProbabilitySampling
 
@@ -255,18 +255,12 @@ def sample_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 5::BIGINT AS n")
 def sample_unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five suppliers, drawn with unequal probabilities."""
-    df = table(spark, sf_dir, "supplier").select(F.row_number().over(_by_key()).alias("k"), "s_suppkey").withColumn("i", F.col("k").cast("long") - 1)
+    df = with_row_id(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], "i")
     p = np.linspace(0.1, 0.9, df.count())
     design = UnequalProbabilitySampling.from_bernoulli(p, 5)
     return design.sample(df, "i", np.random.default_rng(2)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _by_key():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy("s_suppkey")
-
-
 @query("SELECT 'a' AS argument, 2.0::DOUBLE AS optimum UNION ALL SELECT 'b', -1.0")
 def ce_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least of a bowl, by cross-entropy."""
