@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import INF, with_row_id, with_running
+from .matrix import Matrix
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,12 @@ class CategoricalFrame:
         """(code, label) of a variable, in order: a codebook is a driver-side list."""
         return [(r.code, r.label) for r in self.codebook.where(F.col("variable") == variable).orderBy("code").collect()]
 
+    def to_matrix(self, variable: str) -> Matrix:
+        """A variable's codes as a column whose rows are named by the labels."""
+        cats = self.categories(variable)
+        cells = Matrix.dense(self.rows.sparkSession, len(cats), 1, [c for c, _ in cats])
+        return cells.set_names({k: label for k, (_, label) in enumerate(cats)}, name=variable)
+
     def disjoin(self, checked: bool = True) -> DataFrame:
         """One 0/1 column `variable=label` per category; an unknown code raises."""
         if checked:
@@ -141,6 +148,12 @@ class Codebook:
     def set_read_only(self) -> None:
         self.locked = True
 
+    @staticmethod
+    def from_matrix(column: Matrix) -> Codebook:
+        """The variable whose codes are a column's entries; unnamed rows are labelled by their codes."""
+        codes = column.column_major()
+        return Codebook(column.name or "", [(c, column.row_names.get(k, f"{c:g}")) for k, c in enumerate(codes)])
+
     def rows(self) -> list[tuple[str, float, str]]:
         return [(self.name, c, lab) for c, lab in sorted(self.items)]
 

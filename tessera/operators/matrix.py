@@ -132,6 +132,12 @@ class Matrix:
         flat = df.select(F.col(row).cast("long").alias("i"), F.posexplode(F.col(vector).cast("array<double>")).alias("j", "v"))
         return Matrix(flat.where("v <> 0 or isnan(v)"), n_rows, n_cols)
 
+    @staticmethod
+    def from_partition(labels: DataFrame, n_rows: int) -> Matrix:
+        """The parts (idx, part; parts are numbers) of positions 0 on, as one column."""
+        column = labels.select(F.col("idx").cast("long").alias("i"), F.lit(0).alias("j"), F.col("part").cast("double").alias("v"))
+        return Matrix(column.where("v <> 0 or isnan(v)"), n_rows, 1)
+
     @property
     def spark(self) -> SparkSession:
         return self.entries.sparkSession
@@ -172,6 +178,10 @@ class Matrix:
             out[r.i, r.j] = complex(*r.v) if self.is_complex else r.v
         return out
 
+    def column_major(self) -> list[complex]:
+        """All entries, column by column, on the driver."""
+        return self.to_numpy().ravel(order="F").tolist()
+
     @staticmethod
     def from_numpy(spark: SparkSession, a: np.ndarray) -> Matrix:
         at = np.argwhere(a != 0)

@@ -155,6 +155,14 @@ def row_covariance(coord: DataFrame, n_cols: int, adjust: bool = False) -> DataF
     return rows.join(cross, ["i", "k"], "left").select("i", "k", ((F.coalesce("s", F.lit(0.0)) - n_cols * F.col("mi") * F.col("mk")) / by).alias("value"))
 
 
+def row_correlation(coord: DataFrame, n_cols: int) -> DataFrame:
+    """Correlations between rows of a coordinate frame: (i, k, value); NaN where a row is constant."""
+    c = row_covariance(coord, n_cols)
+    own = c.where("i = k").select("i", F.greatest("value", F.lit(0.0)).alias("s"))
+    both = c.join(own, "i").join(own.select(F.col("i").alias("k"), F.col("s").alias("t")), "k")
+    return both.select("i", "k", F.when(F.col("s") * F.col("t") == 0, F.lit(NAN)).otherwise(F.try_divide("value", F.sqrt(F.col("s") * F.col("t")))).alias("value"))
+
+
 #: Half the width, in probability, of the bracket in which an order statistic is looked for, and the sketch's accuracy.
 _BRACKET, _ACCURACY = 0.002, 2000
 #: Groups whose brackets are broadcast; with more of them they are joined.
@@ -256,4 +264,4 @@ def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str) -> Data
     return unpivot_row(df.agg(*cells), columns, ["mean", "variance"])
 
 
-__all__ = ["INF", "NAN", "STATISTICS", "NotAdjustable", "aggregate", "check_adjustable", "correlation", "covariance", "on_all", "on_columns", "on_rows", "quantile", "quantile_columns", "row_covariance", "row_quantile", "row_statistic", "sort_entries", "sort_index", "weighted_moments"]
+__all__ = ["INF", "NAN", "STATISTICS", "NotAdjustable", "aggregate", "check_adjustable", "correlation", "covariance", "on_all", "on_columns", "on_rows", "quantile", "quantile_columns", "row_correlation", "row_covariance", "row_quantile", "row_statistic", "sort_entries", "sort_index", "weighted_moments"]

@@ -14,7 +14,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.categorical import CategoricalFrame
+from tessera.operators.categorical import CategoricalFrame, Codebook
+from tessera.operators.classifier import Entailment
 from tessera.operators.frames import with_row_id
 from tessera.operators.matrix import COMPLEX, Matrix
 
@@ -141,6 +142,35 @@ def variable_json(data: CategoricalFrame, variable: str, read_only: bool = True)
     return json.dumps({"Name": variable, "Categories": cats, "IsReadOnly": read_only}, ensure_ascii=False)
 
 
+def entailment_json(rule: Entailment, data: CategoricalFrame, features: list[str], response: str) -> str:
+    """A rule with its variables, premises in the order of the features."""
+    held = {
+        "FeatureVariables": [json.loads(variable_json(data, v)) for v in features],
+        "ResponseVariable": json.loads(variable_json(data, response)),
+        "FeaturePremises": [sorted(p) for p in rule.premises],
+        "ResponseConclusion": rule.conclusion,
+        "TruthValue": rule.truth,
+    }
+    return json.dumps(held, ensure_ascii=False)
+
+
+def read_entailment_json(text: str) -> tuple[Entailment, list[Codebook], Codebook]:
+    """The rule, its features' codebooks and its response's."""
+    held = json.loads(text)
+    book = lambda v: Codebook(v["Name"], [(c["Code"], c["Label"]) for c in v["Categories"]])
+    rule = Entailment(tuple(frozenset(p) for p in held["FeaturePremises"]), held["ResponseConclusion"], held["TruthValue"])
+    return rule, [book(v) for v in held["FeatureVariables"]], book(held["ResponseVariable"])
+
+
+def categorical_json(data: CategoricalFrame, name: str | None = None) -> DataFrame:
+    """One row, `json`: variables and the matrix of codes."""
+    n = data.rows.count()
+    codes = Matrix.from_wide(with_row_id(data.rows, ["row_id"], "_k"), "_k", list(data.variables), n)
+    variables = json.dumps([json.loads(variable_json(data, v)) for v in data.variables], ensure_ascii=False)
+    tail = f', "Name": {json.dumps(name)}}}'
+    return matrix_json(codes).select(F.concat(F.lit(f'{{"Variables": {variables}, "Data": '), "json", F.lit(tail)).alias("json"))
+
+
 def write_categorical(data: CategoricalFrame, path: str) -> None:
     """Codes as Parquet and the codebook as JSON lines."""
     data.rows.write.parquet(f"{path}/rows")

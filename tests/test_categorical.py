@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import categorical as cat
 from tessera.operators import indexes
 from tessera.operators import partition as part
-from tessera.operators.classifier import EnsembleClassifier, accuracy
+from tessera.operators.classifier import EnsembleClassifier, Entailment, accuracy
 from tessera.sources import matrix_files
 
 ROWS = [("Red", "-2.2"), ("Green", "0"), ("Red", "-3.3"), ("White", "0"), ("Blue", "-1.1"), ("Blue", "0")]
@@ -64,6 +65,16 @@ def test_files(spark, colors, tmp_path):
     assert '"Code": 0.0, "Label": "Red"' in matrix_files.variable_json(colors, "COLOR")
 
 
+def test_variables_rules_and_data_as_text(colors):
+    book = cat.Codebook.from_matrix(colors.to_matrix("COLOR"))
+    assert book.name == "COLOR" and book.items == colors.categories("COLOR")
+    rule = Entailment((frozenset({0.0, 3.0}),), 1.0, 0.5)
+    back, features, response = matrix_files.read_entailment_json(matrix_files.entailment_json(rule, colors, ["COLOR"], "NUMBER"))
+    assert back == rule and features[0].items == colors.categories("COLOR") and response.name == "NUMBER"
+    held = json.loads(matrix_files.categorical_json(colors, "set").first().json)
+    assert held["Name"] == "set" and held["Data"]["Implementor"]["Storage"][:6] == [0, 1, 0, 2, 3, 3]
+
+
 def test_delimited_text(spark, tmp_path):
     (tmp_path / "t.csv").write_text("A|B|C\n1|x|2\n3|y|4\n")
     found = matrix_files.read_delimited(spark, str(tmp_path / "t.csv"), [2, 0], "|").orderBy("row_id").collect()

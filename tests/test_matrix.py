@@ -89,6 +89,9 @@ def test_building(spark, a):
     assert np.array_equal(Matrix.diagonal(Matrix.dense(spark, 2, 1, [5, 6])).to_numpy(), np.diag([5, 6]))
     assert Matrix.dense(spark, 1, 1, [7]).scalar() == 7
     assert np.array_equal(Matrix.sparse(spark, 2, 3, [(1, 2, 4.0)]).to_numpy(), [[0, 0, 0], [0, 0, 4]])
+    assert a.column_major() == A.ravel(order="F").tolist()
+    labels = spark.createDataFrame([(0, 2.0), (1, 0.0), (2, 5.0)], "idx long, part double")
+    assert Matrix.from_partition(labels, 3).column_major() == [2, 0, 5]
     with pytest.raises(ValueError):
         a.scalar()
 

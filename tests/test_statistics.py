@@ -120,3 +120,5 @@ def test_row_covariance(spark):
     coord = Matrix.from_numpy(spark, m).entries
     found = {(r.i, r.k): r.value for r in stats.row_covariance(coord, 3).collect()}
     assert [found[0, 0], found[0, 1], found[1, 1]] == pytest.approx([np.cov(m, bias=True)[a] for a in ((0, 0), (0, 1), (1, 1))])
+    r = {(x.i, x.k): x.value for x in stats.row_correlation(coord, 3).collect()}
+    assert [r[0, 0], r[0, 1]] == pytest.approx([1, np.corrcoef(m)[0, 1]])
