@@ -171,21 +171,13 @@ def test_cross_entropy(spark):
     assert crossentropy.minimize(lambda x: (x[0] - 3) ** 2, np.zeros(1))[0] == pytest.approx(3, abs=0.05)
     assert crossentropy.maximize(lambda x: -((x[0] + 1) ** 2), np.zeros(1))[0] == pytest.approx(-1, abs=0.05)
     values = np.array([5.0, 1, 9, 3, 8])
-    context = crossentropy.Combination(_Worth(values), 5, 2, maximize=True)
+    context = crossentropy.Combination(lambda s: s @ values, 5, 2, maximize=True)
     for session in (None, spark):
         assert np.flatnonzero(crossentropy.optimize(context, 300, 0.05, spark=session).optimal_state).tolist() == [2, 4]
     level, elite = crossentropy.Continuous(None, np.zeros(1)).update_level(np.arange(100.0), 0.05)
     assert level == 5 and len(elite) == 6  # one more than the share
 
 
-class _Worth:
-    def __init__(self, values):
-        self.values = values
-
-    def __call__(self, states):
-        return states @ self.values
-
-
 def test_clusters():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (8, 3)), rng.normal(4, 0.1, (8, 3))])

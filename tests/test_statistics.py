@@ -43,7 +43,7 @@ def test_correlation_of_a_constant_is_nan(spark):
 
 def test_max_takes_the_lowest_index(m40):
     found = stats.on_columns(m40, COLUMNS, ["max"], index="row_id").collect()
-    assert [(r.max.index, r.max.value) for r in found] == [(0, 16), (3, 14), (3, 15), (0, 13), (0, 4)]
+    assert [(r["max"]["index"], r["max"]["value"]) for r in found] == [(0, 16), (3, 14), (3, 15), (0, 13), (0, 4)]
 
 
 def test_kurtosis(m40):
@@ -102,7 +102,7 @@ def test_sort_index(spark):
     # entries 1, 4, 2, 3 by linear index
     df = spark.createDataFrame([(0, 4.0), (1, 1.0), (2, 3.0), (3, 2.0)], "l long, v double")
     found = stats.sort_entries(df, "v", "l").orderBy("position").collect()
-    assert [r.index for r in found] == [1, 3, 2, 0] and [r.value for r in found] == [1, 2, 3, 4]
+    assert [r["index"] for r in found] == [1, 3, 2, 0] and [r.value for r in found] == [1, 2, 3, 4]
 
 
 def test_row_numbers_follow_the_order(spark):
