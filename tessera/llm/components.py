@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges live in tables throughout; the driver sees only a count and a checksum per
-round.  A star's centre may touch any share of all edges: minima are taken with
+Edges live in tables throughout; the driver learns only whether stars are all that is
+left.  A star's centre may touch any share of all edges: minima are taken with
 map-side combining, and the join that brings them back is one that adaptive
 execution can split.
 """
@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from .common import drop_materialized, materialize
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return row[0], row[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one node, and that on none: then nothing is left to do."""
+    own = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"))
+    seen = own.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("below")))
+    # a node below two others, or below one and above another, breaks a star
+    roles = seen.groupBy("x").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return roles.where("below > 1 or (below = 1 and least = 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,21 +37,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v): undirected links of integers, repeats and loops allowed -> (node, component).
+def stars(edges: DataFrame) -> DataFrame:
+    """edges (u, v): undirected links of integers, repeats and loops allowed -> (u, v), materialized.
 
-    Only nodes that some edge links with another node are returned; the component
-    is the least node that can be reached.  An empty input gives an empty result.
+    Each node that reaches a smaller one is u once; v is the least node that it reaches.
     """
     tidy = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(tidy, "edges")
-    seen = _checksum(now)
-    while seen[0]:
-        new = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+    while not _stars(now):
+        new = materialize(_small_star(_large_star(now)).distinct(), "edges")
         drop_materialized(now)
-        now, before, seen = new, seen, _checksum(new)
-        if before == seen:
-            break
+        now = new
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (u, v) -> (node, component): the least node that each node reaches.
+
+    Only nodes that some edge links with another node are returned; an empty input gives
+    an empty result.
+    """
+    now = stars(edges)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

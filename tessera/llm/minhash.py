@@ -7,10 +7,11 @@
 3. Band keys that several representatives share are buckets.  Each member is first
    confirmed against the least member that any of its buckets holds; that joins the
    large groups of near copies with one comparison a document.
-4. Buckets that still hold several components are searched in full for pairs across
-   components: signatures first, then the full sets.  The rows of a bucket's largest
-   component are dealt in blocks and only the others are repeated, so neither a huge
-   group nor a passage shared by many documents meets in one task.
+4. Buckets that still hold several components are searched across components, signatures
+   first, then sets, inside the task: of the links between two components one leaves it.
+   The rows of a bucket's largest component are dealt in blocks and only the others are
+   repeated, so neither a huge group nor a passage shared by many documents meets in one
+   task.  Links that leave are confirmed on the full sets.
 5. Components by large-star and small-star over confirmed links.
 
 Cases: null or word-less texts have the empty set, link with nothing and are kept;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, filter_of, in_filter, map_arrow, materialize
-from .components import components
+from .components import components, stars
 from .texthash import U, mix, shingle_sets
 
 #: Rows of a bucket that are compared as one block.
@@ -66,7 +67,10 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, keys array<long>, sig binary) for each row of docs (doc_id, text)."""
+    """(doc_id, hash, n, fp1, fp2, keys array<long>, sig binary) for each row of docs (doc_id, text).
+
+    hash is that of the text, so that doc_id and hash name a text even where ids repeat.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = shingle_sets(batch.column("text"), width)
@@ -92,17 +96,27 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()),
+                batch.column("hash"),
                 pa.array(sizes.astype(np.int64)),
                 pa.array(fp1.view(np.int64)),
                 pa.array(fp2.view(np.int64)),
                 listed,
                 pa.array([low[w].tobytes() if w >= 0 else None for w in where], pa.binary()),
             ],
-            ["doc_id", "n", "fp1", "fp2", "keys", "sig"],
+            ["doc_id", "hash", "n", "fp1", "fp2", "keys", "sig"],
         )
 
-    schema = "doc_id long, n long, fp1 long, fp2 long, keys array<long>, sig binary"
-    return map_arrow(docs.select("doc_id", "text"), run, schema, rows=500)
+    schema = "doc_id long, hash long, n long, fp1 long, fp2 long, keys array<long>, sig binary"
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), run, schema, rows=500)
+
+
+def _class_ids(classes: DataFrame) -> DataFrame:
+    """A 64-bit id for each class; another seed should two classes ever share one."""
+    for seed in range(100):
+        named = classes.withColumn("cid", F.xxhash64(F.lit(seed), "fp1", "fp2", "n"))
+        if named.groupBy("cid").count().where("count > 1").isEmpty():
+            return named
+    raise RuntimeError("no seed tells the classes apart")
 
 
 def _only_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -128,8 +142,8 @@ def _alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _floor(similarity: float, hashes: int) -> float:
-    """The least estimate that a link can plausibly have: five standard deviations below."""
-    return similarity - 5 * (similarity * (1 - similarity) / hashes) ** 0.5
+    """The least estimate that a link can plausibly have: four standard deviations below."""
+    return similarity - 4 * (similarity * (1 - similarity) / hashes) ** 0.5
 
 
 def _by_signature(pairs: DataFrame, sigs: DataFrame, least: float, percent: int) -> DataFrame:
@@ -166,10 +180,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return map_arrow(wide.select("a", "b", "ta", "tb"), run, "a long, b long", rows=300)
 
 
-def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs of one bucket, of different components, whose signatures are alike.
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, words): each text's shingle set, as ascending 64-bit values."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, offsets = shingle_sets(batch.column("text"), width)
+        cut = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cut, pa.binary())], ["doc_id", "words"])
+
+    return map_arrow(texts, run, "doc_id long, words binary", rows=500)
+
 
-    members (key, doc_id); labels (doc_id, label), a row only where label <> doc_id.
+def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, percent: int, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket that link different components.
+
+    members (key, doc_id); labels (doc_id, label), a row only where label <> doc_id; sets
+    (doc_id, words).  Within a block, components that a link joins count as one from then on,
+    so that a block gives fewer pairs than it has components.
     """
     rows = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -196,27 +223,39 @@ def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float
             F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: -(1 + F.least(k, own) * F.col("others") + F.greatest(k, own))),
         ).alias("cells"),
     )
-    held = sigs.select("doc_id", "n", "sig")
+    held = sigs.select("doc_id", "n", "sig").join(sets, "doc_id")
     cells = major.unionByName(minor).select("key", F.explode("cells").alias("cell"), "doc_id", "label", "minor").join(held, "doc_id")
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
     def pairs_of(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, labels, sizes = (block.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+        ids, sizes = block.column("doc_id").to_numpy(), block.column("n").to_numpy()
+        group = np.unique(block.column("label").to_numpy(), return_inverse=True)[1]
         minor = block.column("minor").to_numpy()
         sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        words = [np.frombuffer(w, np.uint64) for w in block.column("words").to_pylist()]
         in_major = block.column("cell")[0].as_py() >= 0
         for k in np.flatnonzero(minor):
-            other = (labels != labels[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
+            other = (group != group[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
             other &= ~minor if in_major else ids > ids[k]
             at = np.flatnonzero(other)
             at = at[_alike(sig[at], sig[k]) >= least]
-            if len(at):
-                yield np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])
+            if not len(at):
+                continue
+            own, theirs = words[k], np.concatenate([words[i] for i in at])
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            cuts = np.cumsum([0, *(len(words[i]) for i in at)])[:-1]
+            both = np.add.reduceat((own[place] == theirs).astype(np.int64), cuts)
+            linked = 100 * both >= percent * (sizes[k] + sizes[at] - both)
+            joined, first = np.unique(group[at[linked]], return_index=True)
+            told = at[linked][first]
+            group[np.isin(group, joined)] = group[k]
+            if len(told):
+                yield np.maximum(ids[told], ids[k]), np.minimum(ids[told], ids[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(block: pa.Table) -> Iterator[pa.RecordBatch]:
-            for b, a in pairs_of(block):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if found := list(pairs_of(block)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
 
         rest = None
         for batch in batches:
@@ -246,34 +285,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = materialize(signatures(docs, width, bands, rows), "signatures")
     usable = sigs.where("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = usable.join(classes, ["fp1", "fp2", "n"]).where("doc_id = rep").select("doc_id", "n", "keys", "sig").dropDuplicates(["doc_id", "n"])
-    heads = materialize(heads, "heads")
-    # an id whose rows hold different texts links their classes
-    same_id = usable.join(classes, ["fp1", "fp2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u <> v").select("u", "v")
+    same_set = ["fp1", "fp2", "n"]
+    classes = materialize(_class_ids(materialize(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")), "classes")
+    # from here on a class stands for its texts, under the name of doc_id
+    named = usable.join(classes, same_set)
+    heads = materialize(named.where("doc_id = rep").dropDuplicates(["cid"]).select(F.col("cid").alias("doc_id"), "rep", "hash", "n", "keys", "sig"), "heads")
+    # ids whose rows hold different texts link their classes
+    several = usable.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc_id")
+    ids = named.join(several, "doc_id").select("doc_id", "cid").distinct()
+    same_id = ids.join(ids.groupBy("doc_id").agg(F.min("cid").alias("v")), "doc_id").where("cid <> v").select(F.col("cid").alias("u"), "v")
     keyed = heads.select(F.explode("keys").alias("key"), "doc_id")
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     members = materialize(keyed.join(buckets, "key"), "members")
-    texts = materialize(_only_ids(docs, members.select("doc_id")).join(heads.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    wanted = members.select("doc_id").distinct().join(heads, "doc_id").select("doc_id", "rep", "hash")
+    near = _only_ids(docs, wanted.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("hash"), "text")
+    texts = materialize(near.join(wanted, ["rep", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
     least = _floor(percent / 100, bands * rows)
 
-    def links(pairs: DataFrame, sifted: bool) -> DataFrame:
-        return _confirmed(pairs if sifted else _by_signature(pairs, heads, least, percent), texts, width, percent)
-
-    first = members.where("doc_id > hub").groupBy("doc_id").agg(F.min("hub").alias("b")).select(F.col("doc_id").alias("a"), "b")
-    edges = materialize(links(first, False).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same_id), "links")
-    labels = components(edges).where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    pairs = materialize(_across(members.select("key", "doc_id"), heads, labels, least, percent), "pairs")
-    more = materialize(links(pairs, True).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    final = components(edges.unionByName(more)).where("node <> component")
-    tops = materialize(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("top")), "tops")
-    out = sigs.select("doc_id", "n", "fp1", "fp2").join(tops, ["fp1", "fp2", "n"], "left")
+    as_edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hubs = members.where("doc_id > hub").groupBy("doc_id").agg(F.min("hub").alias("b")).select(F.col("doc_id").alias("a"), "b")
+    first = _confirmed(_by_signature(hubs, heads, least, percent), texts, width, percent)
+    found = stars(as_edges(first).unionByName(same_id))
+    labels = found.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
+    apart = materialize(_across(members.select("key", "doc_id"), heads, labels, least, percent, _sets(texts, width)), "pairs")
+    joined = components(found.unionByName(as_edges(_confirmed(apart, texts, width, percent))))
+    linked = materialize(joined.join(classes, F.col("node") == F.col("cid")).select("cid", "rep", "component"), "linked")
+    least_ids = linked.groupBy("component").agg(F.min("rep").alias("top"))
+    tops = classes.join(linked.join(least_ids, "component").select("cid", "top"), "cid", "left").select(*same_set, F.coalesce("top", "rep").alias("top"))
+    out = sigs.select("doc_id", *same_set).join(tops, same_set, "left")
     out = out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"),
     )
     result = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "near")
-    for done in (sigs, classes, heads, members, texts, edges, pairs, more, tops):
+    for done in (sigs, classes, heads, members, texts, found, apart, linked):
         drop_materialized(done)
     return result

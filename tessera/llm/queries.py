@@ -146,7 +146,26 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+_NEAR_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM said
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM met WHERE 100 * k >= 80 * (na + nb - k) UNION ALL SELECT b, a FROM met WHERE 100 * k >= 80 * (na + nb - k)
+), reached AS (
+  SELECT doc_id AS node, doc_id AS other FROM sets UNION SELECT links.b, reached.other FROM reached JOIN links ON links.a = reached.node
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT node, min(other) AS component_id FROM reached GROUP BY node) c ON c.node = s.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_minhash": _NEAR_SQL,
     "op2_chat": _CHAT_SQL,
     "op6_topk": _TOPK_SQL,
 }
