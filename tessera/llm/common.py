@@ -59,23 +59,32 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
+def _shares(df: DataFrame, strata: str, bound: int) -> dict:
+    """By stratum, how many of the _SPACE draws keep a row. Strata are class labels: a handful of rows reach the driver."""
+    return {r[0]: _SPACE if r[1] <= bound else int(_SPACE * bound / r[1]) for r in df.groupBy(strata).count().collect()}
+
+
+def weighted_sample(df: DataFrame, key: str, bound: int, strata: str) -> tuple[DataFrame, dict]:
+    """bounded_sample by stratum, and the rows that a kept row of each stratum stands for."""
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_SPACE))
+    shares = _shares(df, strata, bound)
+    keep = F.lit(False)
+    for value, share in shares.items():
+        keep = keep | (F.col(strata).eqNullSafe(F.lit(value)) & (draw < share))
+    return df.where(keep), {value: _SPACE / max(1, share) for value, share in shares.items()}
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, strata: str | None = None) -> DataFrame:
     """About `bound` rows (per stratum), chosen by a hash of `key`; all rows when there are fewer.
 
     Only used to fit classifiers.  A first, column-pruned pass counts the rows, so
     the sample's size doesn't depend on the table's.
     """
+    if strata is not None:
+        return weighted_sample(df, key, bound, strata)[0]
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_SPACE))
-    if strata is None:
-        n = df.select(key).count()
-        return df if n <= bound else df.where(draw < int(_SPACE * bound / n))
-    # strata are class labels: a handful of rows reach the driver
-    sizes = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
-    keep = F.lit(False)
-    for value, n in sizes.items():
-        share = _SPACE if n <= bound else int(_SPACE * bound / n)
-        keep = keep | (F.col(strata).eqNullSafe(F.lit(value)) & (draw < share))
-    return df.where(keep)
+    n = df.select(key).count()
+    return df if n <= bound else df.where(draw < int(_SPACE * bound / n))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 1000) -> DataFrame:

@@ -29,16 +29,16 @@ BOUND = 4000
 PIECES, PIECE_CHARS = 3, 560
 
 
-def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept."""
+def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, rows: np.ndarray | float = 1.0) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last weight is the intercept. Each row counts as so many `rows`."""
     x = np.column_stack([features, np.ones(len(features))])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ ((p - y) * rows) + penalty * w
+        curve = (x * (np.maximum(p * (1 - p), 1e-6) * rows)[:, None]).T @ x + np.diag(penalty)
         move = np.linalg.solve(curve, grad)
         w -= move * min(1, 5 / max(np.abs(move).max(), 1e-9))
     return w

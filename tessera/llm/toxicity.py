@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_arrow, texts_of
+from .common import map_arrow, texts_of, weighted_sample
 from .quality import logistic
 
 #: Labelled rows used per class, and tokens kept, at most.
@@ -124,11 +124,13 @@ def _shape(best: np.ndarray, top: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
     """Train on docs (doc_id, text) and labels (doc_id, label), a bounded sample of each class.
 
+    In the logistic curve a sampled row counts for all rows of its class that it stands
+    for, so that the scores hold for the true share of toxic texts at every size.
     The sampled labels are what is broadcast; counting and scoring run on the executors,
     and at most VOCABULARY tokens and one line of features a sampled row reach the driver.
     """
     usable = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
-    known = bounded_sample(usable, "doc_id", bound, "label")
+    known, stands_for = weighted_sample(usable, "doc_id", bound, "label")
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,10 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
     scale = len(clean) / sum(r.n * math.exp(-exponent * max(r.segments, default=0.0)) for r in clean) if clean else 1.0
     stats = sorted((r.label, *_summary([(0, 0, s) for s in r.segments], r.n, exponent, scale)) for r in seen)
     y = np.array([s[0] for s in stats])
-    total = {0: docs_of[1], 1: docs_of[0]}
+    rows_of = np.array([stands_for[s[0]] for s in stats])
     features = _shape(np.array([s[1] for s in stats]), np.array([s[2] for s in stats]))
-    curve = logistic(features, y, ridge=0.1) if 0 < y.sum() < len(y) else np.zeros(3)
-    return {"counts": weights.counts, "docs": docs_of, "rate": exponent, "scale": scale, "curve": curve, "total": total}
+    curve = logistic(features, y, ridge=0.1, rows=rows_of) if 0 < y.sum() < len(y) else np.zeros(3)
+    return {"counts": weights.counts, "docs": docs_of, "rate": exponent, "scale": scale, "curve": curve}
 
 
 class Scorer:

@@ -109,6 +109,24 @@ def test_toxicity(spark):
     assert toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).where("score <> 0").count() == 0
 
 
+def test_toxicity_scores_do_not_follow_the_bound(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(3000):
+        words = prose(rng, "aa", 60).split()
+        toxic = k % 10 == 0
+        # some clean texts quote as much as most toxic ones say, so that the classes overlap
+        for _ in range(rng.choice([1, 2, 3]) if toxic else rng.choice([0] * 9 + [1, 2])):
+            words.insert(rng.randrange(len(words)), rng.choice(["vile", "scum", "awful"]))
+        rows.append((k, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3).cache()
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "label")
+    whole, thinned = toxicity.fit(docs, labels), toxicity.fit(docs, labels, bound=300)
+    got = [np.array([r.score for r in toxicity.score(docs, m).orderBy("doc_id").collect()]) for m in (whole, thinned)]
+    share = np.mean([r[2] for r in rows])
+    assert abs(got[0].mean() - share) < 0.01 and abs(got[1].mean() - share) < 0.04
+
+
 def maximal_segments(s):
     """By definition: a best-scoring run, shortest first, then both sides of it."""
     if not any(x > 0 for x in s):
