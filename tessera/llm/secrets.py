@@ -4,9 +4,10 @@ The patterns give the base spans.  Any other token of TOKEN characters gets an i
 encoding (the smallest alphabet that holds it) and three tests against uniform draws
 from it: chi-squared of the symbol counts, runs about the middle of the alphabet and
 serial correlation, combined by Fisher's method.  A token that passes as random gets
-the probability that an ordinary word or name changes its character class as often;
-these are controlled for false discoveries over the whole corpus, apart for each class
-of lengths, since long tokens say more than short ones.
+its likelihood as uniform draws from the encoding against ordinary text of the corpus in
+the same alphabet, as a bound on the probability that an ordinary token looks as much
+like them; these are controlled for false discoveries over the whole corpus, apart for
+each class of lengths, since long tokens say more than short ones.
 
 Cases: null text is empty and has no span; documents without candidates keep their row;
 repeated rows each get a row; extra columns are ignored; positions are code points.
@@ -18,11 +19,13 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, map_arrow, materialize, texts_of
+from .texthash import buffer_of, word_spans
 
 #: The base patterns, letters of the first in either case, with the least length of group or match.
 PATTERNS = (
@@ -55,6 +58,16 @@ ALPHABETS = (
 _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
 #: Rate at which ordinary tokens change class, at most; random enough; false discovery rate.
 CHANGE, RANDOM, RATE = 0.2, 0.001, 0.01
+#: Class moves of ordinary text from small letters, capitals and digits to each of them.
+_MOVES = ((1 - CHANGE, CHANGE / 2, CHANGE / 2), ((1 - CHANGE) / 2, (1 - CHANGE) / 2, CHANGE), (CHANGE / 2, CHANGE / 2, 1 - CHANGE))
+#: Usual percentages of the letters a to z in European languages, which count as 1000 letters; share of uniform letters in any text.
+USUAL = (8.5, 1.4, 3.5, 4.2, 14, 1.6, 1.8, 3.5, 7.2, 0.4, 0.7, 4.6, 2.7, 7.8, 6.2, 2.2, 0.6, 6.6, 7, 7.2, 4.2, 1.2, 1.1, 0.25, 1, 0.6)
+UNSEEN = 0.05
+#: Bytes of tested tokens; bytes to letters, 26 for none.
+_HELD = np.zeros(256, bool)
+_HELD[[ord(c) for c in ALPHABETS[-1][1]]] = True
+_LETTER = np.full(256, 26, np.uint8)
+_LETTER[65:91] = _LETTER[97:123] = np.arange(26)
 #: Starts of the length classes, and steps of log10 p per unit in the counts of probabilities.
 LENGTHS, STEPS, DEEPEST = (20, 28, 40, 64), 20, 30
 
@@ -112,19 +125,72 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def ordinary(token: str) -> float:
-    """Probability that an ordinary token of this length changes class as often.
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """How often each letter (folded; 26 stands for none) follows each, over all texts, tested tokens left out."""
 
-    A capital followed by small letters is ordinary and no change, and neither are the
-    borders of the parts that other characters join, as in paths and snake case.
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offsets = buffer_of(batch.column("text"))
+        codes = _LETTER[raw]
+        starts, ends, _ = word_spans(raw, offsets, _HELD)
+        for k in np.flatnonzero(ends - starts >= TOKEN).tolist():
+            codes[starts[k] : ends[k]] = 26
+        before = np.concatenate([[26], codes[:-1]]).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
+        before[offsets[:-1][offsets[:-1] < len(codes)]] = 26
+        n = np.bincount(before * 27 + codes, minlength=729)
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["pair", "n"])
+
+    out = np.zeros(729)
+    for r in map_arrow(docs.select("text"), run, "pair int, n long", rows=1000).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(27, 27)
+
+
+class Evidence:
+    """Likelihood of a token as uniform draws from its encoding, against ordinary text in the same alphabet.
+
+    Ordinary text changes its character class at a rate of CHANGE, a capital before a
+    small letter and the borders of joined parts being no change, and its letters follow
+    each other as in the corpus.  Digits and joining characters tell nothing.  For
+    ordinary tokens of a length the ratio is 1 on average, so by Markov's inequality its
+    inverse bounds their tail probability; the choice of encoding counts as so many tests.
     """
-    kinds = [_class(c) for c in token]
-    pairs = [(x, y) for x, y in zip(kinds, kinds[1:], strict=False) if x < 3 and y < 3]
-    changes = sum(x != y and not (x == 1 and y == 0) for x, y in pairs)
-    n, logs = len(pairs), []
-    for k in range(changes, n + 1):
-        logs.append(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(CHANGE) + (n - k) * math.log(1 - CHANGE))
-    return min(1.0, sum(math.exp(x) for x in logs))
+
+    def __init__(self, pairs: np.ndarray):
+        usual = np.array(USUAL) / sum(USUAL)
+        single = (pairs[:, :26].sum(axis=0) + 1000 * usual) / (pairs[:, :26].sum() + 1000)
+        follow = (pairs[:, :26] + 50 * single) / (pairs[:, :26].sum(axis=1, keepdims=True) + 50)
+        self.letters = (1 - UNSEEN) * follow + UNSEEN / 26
+        self.tables: dict[str, dict[str, dict[str, float]]] = {}
+
+    def _table(self, alphabet: str) -> dict[str, dict[str, float]]:
+        kinds = [_class(c) for c in alphabet]
+        own = np.bincount(kinds, minlength=4) / len(alphabet)
+        letters = {k: [ord(c.lower()) - 97 for c, x in zip(alphabet, kinds, strict=True) if x == k] for k in (0, 1)}
+        out = {}
+        for x, kind in zip(alphabet, kinds, strict=True):
+            if kind == 3:
+                move = own
+            else:
+                move = np.array([*_MOVES[kind], 0.0]) * (own > 0)
+                move = move / move.sum() * (1 - own[3])
+                move[3] = own[3]
+            follow = self.letters[ord(x.lower()) - 97 if kind < 2 else 26]
+            row = {}
+            for c, k in zip(alphabet, kinds, strict=True):
+                share = follow[ord(c.lower()) - 97] / follow[letters[k]].sum() if k < 2 else 1 / (own[k] * len(alphabet))
+                row[c] = -math.log(len(alphabet) * move[k] * share)
+            out[x] = row
+        return out
+
+    def depth(self, encoding: str, body: str) -> float:
+        """-log10 of the probability that ordinary text looks as much like uniform draws."""
+        alphabet = dict(ALPHABETS)[encoding]
+        table = self.tables.get(encoding)
+        if table is None:
+            table = self.tables[encoding] = self._table(alphabet)
+        ratio = sum(table[x][c] for x, c in zip(body, body[1:], strict=False))
+        return min(DEEPEST, max(0.0, ratio / math.log(10) - math.log10(len(ALPHABETS))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -137,8 +203,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
-    """Tokens outside the base spans that pass as random, with log10 of their ordinary probability."""
+def candidates(text: str, base: list[tuple[int, int, str]], evidence: Evidence) -> list[dict]:
+    """Tokens outside the base spans, with -log10 of their ordinary probability where they pass as random."""
     out, at = [], 0
     for m in _TOKEN.finditer(text):
         a, z = m.span()
@@ -146,15 +212,9 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
             at += 1
         if any(s < z and e > a for s, e, _ in base[at : at + 8]) or any(s < z and e > a for s, e, _ in base):
             continue
-        p = ordinary(m.group())
-        if p < 0.5:
-            encoding, q = battery(m.group())
-            if q >= RANDOM:
-                out.append({"start": a, "end": z, "encoding": encoding, "depth": min(DEEPEST, -math.log10(max(p, 1e-300)))})
-            else:
-                out.append({"start": a, "end": z, "encoding": encoding, "depth": 0.0})
-        else:
-            out.append({"start": a, "end": z, "encoding": "", "depth": 0.0})
+        encoding, q = battery(m.group())
+        depth = evidence.depth(encoding, m.group().rstrip("=")) if q >= RANDOM else 0.0
+        out.append({"start": a, "end": z, "encoding": encoding, "depth": depth})
     return out
 
 
@@ -189,16 +249,17 @@ def _thresholds(found: DataFrame) -> list[float]:
     return out
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
+def _scanned(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
     """doc_id, base spans, tested candidates and the base spans' digest of each document, materialized."""
     span = "array<struct<start:long,end:long,kind:string>>"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         base, more, digest = [], [], []
+        evidence = Evidence(pairs)
         for text in texts_of(batch):
             spans = base_spans(text)
             base.append([{"start": a, "end": z, "kind": k} for a, z, k in spans])
-            more.append(candidates(text, spans))
+            more.append(candidates(text, spans, evidence))
             digest.append(hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, z, k in spans).encode()).hexdigest())
         held = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         tested = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("depth", pa.float64())]))
@@ -215,7 +276,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     found holds the base spans and the random tokens, by start.
     """
-    found = _scanned(docs)
+    found = _scanned(docs, letter_pairs(docs))
     limits = F.array(*[F.lit(x) for x in _thresholds(found)])
     random = F.transform(
         F.filter("candidates", lambda c: c.depth >= F.get(limits, _length_class(c.end - c.start))),
@@ -240,19 +301,21 @@ def covered(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns: secrets are replaced in text, and n_chars follows where it is there.
 
-    The thresholds come from a pass over all documents; the second pass replaces in
+    The letters' pairs and the thresholds come from a pass each over all documents; the third pass replaces in
     place, so that no text is shuffled.  Texts without secrets stay as they are.
     """
-    scanned = _scanned(docs)
+    pairs = letter_pairs(docs)
+    scanned = _scanned(docs, pairs)
     limits = _thresholds(scanned)
     drop_materialized(scanned)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
+        evidence = Evidence(pairs)
         for k, text in enumerate(texts):
             if text:
                 spans = base_spans(text)
-                for c in candidates(text, spans):
+                for c in candidates(text, spans, evidence):
                     size = c["end"] - c["start"]
                     if c["depth"] >= limits[max(i for i, s in enumerate(LENGTHS) if size >= s)]:
                         spans.append((c["start"], c["end"], "random"))

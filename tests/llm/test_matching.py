@@ -55,6 +55,26 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert {r.base_sha256 for r in got if r.doc_id == 100} == {hashlib.sha256(b"").hexdigest()}
 
 
+@pytest.mark.parametrize("alphabet", ["lower", "upper", "HEX", "base32", "base36", "base62"])
+def test_random_tokens_of_each_encoding(spark, alphabet):
+    rng = random.Random(8)
+    symbols = dict(secrets.ALPHABETS)[alphabet]
+    words = "the quick people wander over international boundaries while researchers understand something about government departments and responsibilities".split()
+    made = ["".join(rng.choice(symbols) for _ in range(36)) for _ in range(20)]
+    names = ["".join(rng.choices(words, k=6))[:36] for _ in range(40)]
+    names += [n.upper() for n in names]
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    df = spark.createDataFrame([(k, f"{rng.choice(prose)} {t} there") for k, t in enumerate(made + names)], "doc_id long, text string")
+    hit = {r.doc_id: any(s.kind == "random" for s in r.found) for r in secrets.find_secrets(df).collect()}
+    assert sum(hit[k] for k in range(20)) >= 18 and not any(hit[k] for k in range(20, 100))
+
+
+def test_letter_pairs(spark):
+    df = spark.createDataFrame([("abA",), (None,), ("",), ("b " + "q" * 20 + " é1a",)], "text string").coalesce(1)
+    got = secrets.letter_pairs(df)
+    assert got[26, 0] == 2 and got[0, 1] == 1 and got[1, 0] == 1 and got[26, 1] == 1 and got[16].sum() == got[:, 16].sum() == 0
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[0], "s", len(TEXTS[0])), (2, "clean text", "s", 10), (3, None, None, None)], "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
