@@ -6,10 +6,14 @@ sampled partitions may be scored on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .crossentropy import Combination, Partition, optimize
 
@@ -49,6 +53,8 @@ def davies_bouldin(points: np.ndarray, labels: np.ndarray) -> float:
 
 #: Feature subsets that are simply enumerated.
 ENUMERATED = 2000
+#: Subsets scored in one pass over a table.
+SCORED = 4000
 
 
 def explain(points: np.ndarray, labels: np.ndarray, features: int, seed: int = 0, spark: SparkSession | None = None) -> np.ndarray:
@@ -58,9 +64,71 @@ def explain(points: np.ndarray, labels: np.ndarray, features: int, seed: int = 0
     if not 0 < features < k:
         raise ValueError("fewer features than there are explain the parts")
     subsets = combinations(range(k), features)
-    from math import comb
-
     if comb(k, features) <= ENUMERATED:
         return np.array(min(subsets, key=lambda s: davies_bouldin(points[:, list(s)], labels)))
     context = Combination(lambda s: np.array([davies_bouldin(points[:, x > 0], labels) for x in s]), k, features)
     return np.flatnonzero(optimize(context, 1000 * k, 0.01, seed, spark).optimal_state)
+
+
+def subset_indexes(df: DataFrame, vector: str, label: str, subsets: np.ndarray) -> np.ndarray:
+    """The Davies-Bouldin index of each subset (rows of feature numbers), scored on the executors.
+
+    Means by label and feature, and summed distances by label and subset, reach the driver.
+    """
+    rows = df.select(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    means = rows.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    names = sorted({r.label for r in means})
+    place = {p: i for i, p in enumerate(names)}
+    centres = np.zeros((len(names), 1 + max(r.k for r in means)))
+    sizes = np.zeros(len(names))
+    for r in means:
+        centres[place[r.label], r.k] = r.m
+        sizes[place[r.label]] = r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(subsets)))
+        for batch in batches:
+            own = np.array([place[p] for p in batch.column("label").to_pylist()], int)
+            if len(own):
+                square = (np.array(batch.column("x").to_pylist(), float) - centres[own]) ** 2
+                for at in range(0, len(own), 200):
+                    np.add.at(total, own[at : at + 200], np.sqrt(square[at : at + 200][:, subsets].sum(axis=2)))
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["part", "subset", "distance"])
+
+    spread = np.zeros((len(names), len(subsets)))
+    for r in rows.mapInArrow(run, "part int, subset int, distance double").groupBy("part", "subset").agg(F.sum("distance").alias("d")).collect():
+        spread[r.part, r.subset] = r.d / sizes[r.part]
+    out = np.zeros(len(subsets))
+    for j, s in enumerate(subsets):
+        gap = np.sqrt(((centres[:, None, s] - centres[None, :, s]) ** 2).sum(axis=2))
+        np.fill_diagonal(gap, np.inf)
+        with np.errstate(divide="ignore"):
+            out[j] = ((spread[:, None, j] + spread[None, :, j]) / gap).max(axis=1).mean()
+    return out
+
+
+def explain_table(df: DataFrame, vector: str, label: str, features: int, seed: int = 0) -> np.ndarray:
+    """`explain` over a table with an array column of features: no row reaches the driver.
+
+    The cross-entropy search scores each subset once, and the best of all that it scored is the answer.
+    """
+    df = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    k = df.select(F.max(F.size(vector))).first()[0]
+    if not 0 < features < (k or 0):
+        raise ValueError("fewer features than there are explain the parts")
+    if comb(k, features) <= ENUMERATED:
+        subsets = np.array(list(combinations(range(k), features)))
+        return subsets[np.argmin(subset_indexes(df, vector, label, subsets))]
+    seen: dict[tuple[int, ...], float] = {}
+
+    def score(states: np.ndarray) -> np.ndarray:
+        keys = [tuple(x) for x in np.nonzero(states > 0)[1].reshape(len(states), features).tolist()]
+        fresh = sorted(set(keys) - seen.keys())
+        for at in range(0, len(fresh), SCORED):
+            part = fresh[at : at + SCORED]
+            seen.update(zip(part, subset_indexes(df, vector, label, np.array(part)).tolist(), strict=True))
+        return np.array([seen[x] for x in keys])
+
+    optimize(Combination(score, k, features), 1000 * k, 0.01, seed)
+    return np.array(min(seen, key=lambda s: (seen[s], s)))

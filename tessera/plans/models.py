@@ -293,10 +293,9 @@ def clusters_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clusters_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two embedding components that part the labels best among the first twelve."""
-    held = table(spark, sf_dir, "embeddings").orderBy("vec_id").collect()
-    x, y = np.array([r.embedding[:12] for r in held], float), np.array([r.label for r in held])
-    return spark.createDataFrame([(int(k),) for k in clusters.explain(x, y, 2)], "component int")
+    """The two embedding components that part the labels best."""
+    found = clusters.explain_table(table(spark, sf_dir, "embeddings"), "embedding", "label", 2)
+    return spark.createDataFrame([(int(k),) for k in found], "component int")
 
 
 @query("SELECT 0 AS k, 2.0::DOUBLE AS gradient, 6.0::DOUBLE AS curvature UNION ALL SELECT 1, 12.0, 12.0")

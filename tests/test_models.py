@@ -187,6 +187,17 @@ def test_clusters():
     assert set(clusters.explain(x, parts, 2)) == {0, 1}
 
 
+def test_explained_by_all_components(spark):
+    from itertools import combinations
+
+    from tessera.plans import models
+
+    held = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    x, y = np.array([r.embedding for r in held], float), np.array([r.label for r in held])
+    best = min(combinations(range(64), 2), key=lambda s: clusters.davies_bouldin(x[:, list(s)], y))
+    assert tuple(r.component for r in models.clusters_explain(spark, "/root/testdata/sf0.01").collect()) == best
+
+
 def test_rare_event():
     context = crossentropy.RareEvent(
         lambda s: s.sum(axis=1), lambda rng, p, n: rng.exponential(p, (n, len(p))), lambda s, u, v: np.exp((s * (1 / v - 1 / u)).sum(axis=1)) * np.prod(v / u), np.ones(2), 15.0
