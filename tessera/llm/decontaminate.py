@@ -6,15 +6,19 @@ number turn into typed placeholders, runs of one type into a single one.  Window
 drops the documents' other windows on the spot, and the rest are hash-joined.  An item
 is found in a document if its windows cover enough of it and its slots are consistent:
 along one alignment, a value of the item always meets the same value of the document.
+Windows of more slots than words say too little and are left out; an item with fewer than
+two others is also found where all its words and signs stand as they are, letter case aside.
 
-Cases: null and empty texts match nothing; an item of fewer than SHORTEST template
-tokens says too little and is matched by none; items of fewer than WIDTH tokens are one
-window; repeated rows and ids count once; rows with null ids take no part; extra
+Cases: null and empty texts match nothing; an item of fewer than SHORTEST words and signs
+says too little and is matched by none, and one of fewer template tokens only as it
+stands; items of fewer than WIDTH tokens are one window; repeated rows and ids count once; rows with null ids take no part; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +45,11 @@ UNITS = (
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in "+-*/=<>^%"]] = True
 _BREAK = ~_WORD
 _BREAK[[ord(c) for c in " \t,-'/()"]] = False
-_NUMBER, _NAME, _UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
+_NUMBER, _NAME, _UNIT, _EXACT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -52,8 +58,11 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(word_hashes(raw, starts, ends, folded_values()))
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token hashes of all rows, their slot values (0: no slot), each row's first token."""
+def templates(column: pa.Array, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template token hashes of all rows, their slot values (0: no slot), each row's first token.
+
+    inside: a row's first word doesn't open a sentence, as where the row is copied into one.
+    """
     raw, offsets = buffer_of(column)
     starts, ends, first = word_spans(raw, offsets, _WORD)
     words = word_hashes(raw, starts, ends, folded_values())
@@ -66,6 +75,8 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     broken = np.cumsum(_BREAK[raw])
     opening = np.ones(n, bool)
     opening[1:] = (row[1:] != row[:-1]) | (broken[starts[1:] - 1] > broken[ends[:-1] - 1])
+    if inside:
+        opening[first[:-1][first[:-1] < first[1:]]] = False
     name = (head >= 65) & (head <= 90) & (ends - starts > 1) & (((second >= 97) & (second <= 122)) | (second >= 128)) & ~opening
     unit = np.zeros(n, bool)
     after = np.flatnonzero(number[:-1] & (row[1:] == row[:-1])) + 1
@@ -81,12 +92,12 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, values, np.searchsorted(at, first)
 
 
-def _windows(column: pa.Array, widths: list[int], whole: bool) -> tuple[np.ndarray, ...]:
+def _windows(column: pa.Array, widths: list[int], whole: bool, inside: bool = False) -> tuple[np.ndarray, ...]:
     """Windows that lie in one row and hold words enough: hash, row, position, width, all slot values.
 
     whole: a row with fewer than WIDTH tokens gives one window of its own size instead.
     """
-    tokens, values, first = templates(column)
+    tokens, values, first = templates(column, inside)
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), counts)
     found = []
@@ -107,6 +118,28 @@ def _windows(column: pa.Array, widths: list[int], whole: bool) -> tuple[np.ndarr
     return h, r, p, w, (values, at)
 
 
+def _exact_windows(column: pa.Array, widths: list[int], whole: bool) -> tuple[np.ndarray, ...]:
+    """Like _windows, of case-folded words and signs as they stand, without templates."""
+    raw, offsets = buffer_of(column)
+    spans = [word_spans(raw, offsets, kind)[:2] for kind in (_WORD, _SIGN)]
+    starts, ends = (np.concatenate(x) for x in zip(*spans, strict=True))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
+    tokens, first = word_hashes(raw, starts, ends, folded_values()), np.searchsorted(starts, offsets)
+    counts = np.diff(first)
+    row = np.repeat(np.arange(len(counts)), counts)
+    found = []
+    for width in widths:
+        h = window_hashes(tokens, width)
+        ok = np.arange(len(h)) + width <= first[1:][row[: len(h)]]
+        if whole and width < WIDTH:
+            ok &= counts[row[: len(h)]] == width
+        at = np.flatnonzero(ok)
+        found.append((mix((h[at] + U(width)) ^ _EXACT), row[at], at - first[row[at]], np.full(len(at), width), at))
+    h, r, p, w, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, r, p, w, (np.zeros(len(tokens), np.uint64), at)
+
+
 def _slots(held: tuple, pick: np.ndarray, widths: np.ndarray) -> list:
     """Slot values of the picked windows, None where a window has none."""
     values, at = held
@@ -117,15 +150,26 @@ def _slots(held: tuple, pick: np.ndarray, widths: np.ndarray) -> list:
     return out
 
 
-def _batch(ids: pa.Array, id_name: str, found: tuple, pick: np.ndarray) -> pa.RecordBatch:
+def _batch(ids: pa.Array, id_name: str, found: tuple, pick: np.ndarray, form: np.ndarray | None = None) -> pa.RecordBatch:
+    """form: of each row of ids, what tells texts apart whose windows must all be found; 0 for templates."""
     h, row, place, width, held = found
     slots = _slots(held, pick, width) if len(pick) else []
     return pa.RecordBatch.from_arrays(
-        [pa.array(h[pick].view(np.int64)), ids.take(pa.array(row[pick])), pa.array(place[pick].astype(np.int32)), pa.array(width[pick].astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
-        ["w", id_name, "place", "width", "slots"],
+        [pa.array(h[pick].view(np.int64)), ids.take(pa.array(row[pick])), pa.array(place[pick].astype(np.int32)), pa.array(width[pick].astype(np.int32)), pa.array(slots, pa.list_(pa.int64())),
+         pa.array(np.zeros(len(pick), np.int64) if form is None else form[row[pick]])],
+        ["w", id_name, "place", "width", "slots", "form"],
     )
 
 
+def hash_of(text: str | None) -> int:
+    """A number of a text, not 0."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=7).digest()) + 1
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0] if sum(p.num_rows for p in parts) else parts[0]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> one row per document and item found in it.
 
@@ -136,31 +180,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = list(range(SHORTEST, WIDTH + 1))
 
     def of_items(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _windows(batch.column("text"), sizes, True)
-        return _batch(batch.column("item_id").cast(pa.int64()), "item_id", found, np.arange(len(found[0])))
-
-    shape = "place int, width int, slots array<long>"
+        text, ids = batch.column("text"), batch.column("item_id").cast(pa.int64())
+        found, other, exact = _windows(text, sizes, True), _windows(text, sizes, True, inside=True), _exact_windows(text, sizes, True)
+        # where the item stands inside a sentence, its first word may read as a name
+        other_pick = np.flatnonzero((other[2] == 0) & ~np.isin(other[0], found[0]))
+        few = np.bincount(found[1], minlength=batch.num_rows) < 2
+        form = np.array([hash_of(t) for t in text.to_pylist()], np.int64)
+        return _joined([
+            _batch(ids, "item_id", found, np.arange(len(found[0]))), _batch(ids, "item_id", other, other_pick),
+            _batch(ids, "item_id", exact, np.flatnonzero(few[exact[1]]), form),
+        ])
+
+    shape = "place int, width int, slots array<long>, form long"
     items = benchmark.where("item_id is not null").select("item_id", "text").dropDuplicates(["item_id", "text"])
     items = materialize(map_arrow(items, of_items, f"w long, item_id long, {shape}", rows=500), "windows")
-    used = sorted({r.width for r in items.select("width").distinct().collect()})
+    kinds = items.select("width", (F.col("form") != 0).alias("exact")).distinct().collect()
+    used = [sorted({r.width for r in kinds if r.exact == exact}) for exact in (False, True)]
     spread = spark.sparkContext.broadcast((filter_of(items.select("w")), used))
 
     def of_docs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, widths = spread.value
-        found = _windows(batch.column("text"), widths, False)
-        hit = np.flatnonzero(in_filter(bits, found[0]))
-        return _batch(batch.column("doc_id").cast(pa.int64()), "doc_id", found, hit)
+        bits, (widths, exact) = spread.value
+        made = [_windows(batch.column("text"), widths, False)] + ([_exact_windows(batch.column("text"), exact, False)] if exact else [])
+        return _joined([_batch(batch.column("doc_id").cast(pa.int64()), "doc_id", found, np.flatnonzero(in_filter(bits, found[0]))) for found in made])
 
     seen = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), of_docs, f"w long, doc_id long, {shape}", rows=500)
-    seen = seen.withColumnRenamed("slots", "doc_slots").withColumnRenamed("place", "doc_place").drop("width")
+    seen = seen.withColumnRenamed("slots", "doc_slots").withColumnRenamed("place", "doc_place").drop("width", "form")
     many = items.count()
     if many <= BROADCAST_ROWS:
         hits = seen.join(F.broadcast(items), "w")
     else:  # a window that very many documents share is spread over SALTS tasks
         salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_place"), F.lit(SALTS)).cast("int")).join(salted, ["w", "salt"])
-    hits = materialize(hits.select("doc_id", "item_id", "place", "width", "doc_place", "slots", "doc_slots"), "hits")
-    total = items.groupBy("item_id").agg(F.countDistinct("place").alias("windows"), F.max("width").alias("width"))
+    found = materialize(hits.select("doc_id", "item_id", "place", "width", "doc_place", "slots", "doc_slots", "form"), "hits")
+    # an item with a single window or none is also found as it stands: all its exact windows along one line
+    needed = items.where("form <> 0").groupBy("item_id", "form").agg(F.countDistinct("place").alias("windows"))
+    line = (F.col("doc_place") - F.col("place")).alias("line")
+    whole = found.where("form <> 0").groupBy("doc_id", "item_id", "form", line).agg(F.countDistinct("place").alias("matched")).join(needed, ["item_id", "form"])
+    exact = whole.where("matched = windows").groupBy("doc_id", "item_id").agg(F.max("windows").alias("exact"))
+    hits = found.where("form = 0")
+    total = items.where("form = 0").groupBy("item_id").agg(F.countDistinct("place").alias("windows"), F.max("width").alias("width"))
     matched = hits.groupBy("doc_id", "item_id", "place").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
     enough = (F.col("matched") >= COVERAGE * F.col("windows")) | (F.col("matched") + F.col("width") - 1 >= RUN)
     covered = matched.join(total, "item_id").where(enough)
@@ -178,6 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("doc_id", "item_id", (-F.col("best.col2")).alias("slots"), "best.changed", "best.torn")
     )
     out = covered.join(values, ["doc_id", "item_id"], "left").where("slots is null or torn * 4 <= slots")
+    out = out.join(exact, ["doc_id", "item_id"], "full").withColumns({c: F.coalesce(c, "exact") for c in ("matched", "windows")})
     result = materialize(
         out.select(
             "doc_id", "item_id", "matched", "windows", F.round(F.col("matched") / F.col("windows"), 6).alias("coverage"),
@@ -186,5 +245,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "leaks",
     )
     drop_materialized(items)
-    drop_materialized(hits)
+    drop_materialized(found)
     return result

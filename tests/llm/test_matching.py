@@ -119,6 +119,22 @@ def test_leaks(spark):
     assert leaks(spark, docs[:0], items) == {} and leaks(spark, docs, items[:0]) == {}
 
 
+def test_short_and_slot_heavy_items_as_they_stand(spark):
+    heavy = "Convert 5 km, 3 miles and 12 feet"
+    items = [(1, heavy), (2, "Solve 3x + 5 = 20"), (3, "Name the longest river there"), (4, "Give 1 m, 2 m, 3 m, 4 m, 5 m, 6 m or 7 m"), (5, "too short")]
+    docs = [
+        (10, f"they said {heavy} again"), (11, "now please solve 3X + 5 = 20, then rest"), (12, "and then Name the longest river there was"), (13, f"x {items[3][1]} y"),
+        (14, "now please solve 3x - 5 = 20, then rest"), (15, "Convert 5 km, 3 miles and 13 feet"), (16, "Give 1 m, 2 m, 3 m, 4 m, 5 m, 6 m or 8 m"), (17, "it is too short"), (18, None),
+    ]
+    found = leaks(spark, docs, items)
+    assert set(found) == {(10, 1), (11, 2), (12, 3), (13, 4)} and all(r.coverage == 1 for r in found.values())
+
+
+def test_first_word_inside_a_sentence(spark):
+    changed = "and next Every farmer owns 12 brown cows today"
+    assert set(leaks(spark, [(1, changed)], [(7, "Every farmer owns 9 brown cows today")])) == {(1, 7)}
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     found = leaks(spark, [(k, f"before it {ITEM} after") for k in range(200)] + [(500, "nothing at all")], [(1, ITEM)])
