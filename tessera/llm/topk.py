@@ -1,20 +1,26 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Vectors are sparse rows of integer weights.  Queries are dealt in blocks of a bounded
-size that are sent to the tasks; each task turns a block of its candidates into posting
-lists (per term the candidates that hold it, and their weights), scatters the queries'
-weighted postings into dense score arrays, selects each query's best by partition and
-merges them into its running best.  What leaves a task is k rows a query.
+size; for each block one pass over all vectors runs, to whose tasks the block is sent, and
+which is over, its result written and the block forgotten, before the next begins.  Each
+task turns a block of its candidates into posting lists (per term the candidates that
+hold it, and their weights), adds the queries' weighted postings to dense score arrays
+(scattered where the list is sparse, in one sweep where most candidates hold the term),
+selects each query's best by partition and merges them into its running best.  What
+leaves a task is k rows a query.
 
 Cases: vectors that are null or hold a null or non-finite component take no part, nor
 do rows with null ids; vectors of unequal length score over the terms they share; empty
-vectors score 0; rows that repeat a query's id are its own and no candidates, and each
-distinct vector of a repeated id is a query, its rows ranked apart; ties go to the
-smaller id; extra columns are ignored.  Scores beyond 64 bits are held at the border.
+vectors score 0; rows that repeat a query's id are no candidates of it; all rows of a
+repeated query id are asked, and their scores ranked together (a repeated row gives its
+scores as often as it stands there); a repeated candidate is as many candidates; ties go
+to the smaller id; extra columns are ignored; an empty table gives no rows.  Scores are
+exact up to 64 bits; a score beyond them raises an OverflowError.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +29,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block (sent to every task) and of a score array; candidates of a score array.
-QUERY_BLOCK, QUERY_ROWS, CANDIDATES = 8192, 512, 4096
+from .common import drop_materialized, materialize, shared_dir
+
+#: Weights of a block of queries (sent to every task, 8 bytes each).
+BLOCK_WEIGHTS = 1 << 21
+#: Queries and candidates of a score array.
+QUERY_ROWS, CANDIDATES = 32, 4096
 #: Candidates of a task, at least, where there are more tasks than cores.
 TASK_ROWS = 20_000
+#: Share of the candidates from which a posting list is added in one sweep.
+DENSE = 0.25
 
 
 def weights_of(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,34 +59,37 @@ def weights_of(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
     return keep, np.floor(found * scale)
 
 
-def _integers(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as 64-bit integers, or as Python's where a score might not fit."""
-    most = (np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.int64 if most < 2**50 else object
-    if kind is object:
-        exact = np.vectorize(int, otypes=[object])
-        return (exact(queries) if queries.size else queries.astype(object)), (exact(candidates) if candidates.size else candidates.astype(object))
-    return queries.astype(kind), candidates.astype(kind)
+def _exact_kind(queries: np.ndarray, candidates: np.ndarray) -> type:
+    """The narrowest type that holds all weights and scores: 32 or 64 bits, or Python's integers."""
+    q, c = float(np.abs(queries).max(initial=0)), float(np.abs(candidates).max(initial=0))
+    most = max(q * c * max(1, min(queries.shape[1], candidates.shape[1])), q, c)
+    return np.int32 if most < 2**31 - 1 else np.int64 if most < 2**62 else object
+
+
+def _by_term(rows: np.ndarray, terms: int, kind: type) -> np.ndarray:
+    """Weights (terms x rows) as exact integers."""
+    flat = np.ascontiguousarray(rows[:, :terms].T)
+    return np.vectorize(int, otypes=[object])(flat) if kind is object and flat.size else flat.astype(kind)
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores (queries x candidates), term at a time over the posting lists."""
-    terms = min(queries.shape[1], candidates.shape[1])
-    queries, candidates = _integers(queries[:, :terms], candidates[:, :terms])
-    scores = np.zeros((len(queries), len(candidates)), queries.dtype)
-    for t in range(terms):
-        posting = np.flatnonzero(candidates[:, t])
-        asking = np.flatnonzero(queries[:, t])
-        if not len(posting) or not len(asking):
-            continue
-        part = np.multiply.outer(queries[asking, t], candidates[posting, t])
-        if len(posting) == len(candidates) and len(asking) == len(queries):
-            scores += part
-        else:
-            scores[np.ix_(asking, posting)] += part
-    if scores.dtype == object:
-        border = 2**62
-        scores = np.vectorize(lambda x: max(-border, min(border, x)), otypes=[np.int64])(scores) if scores.size else scores.astype(np.int64)
+    terms, kind = min(queries.shape[1], candidates.shape[1]), _exact_kind(queries, candidates)
+    return _accumulated(_by_term(queries, terms, kind), _by_term(candidates, terms, kind))
+
+
+def _accumulated(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The same from weights by term (terms x queries, terms x candidates)."""
+    scores = np.zeros((queries.shape[1], candidates.shape[1]), queries.dtype)
+    part = np.empty_like(scores)
+    for asked, held in zip(queries, candidates, strict=True):
+        posting = np.flatnonzero(held)
+        if len(posting) >= DENSE * len(held):
+            np.multiply(asked[:, None], held[None, :], out=part)
+            np.add(scores, part, out=scores)
+        elif len(posting):
+            asking = np.flatnonzero(asked)
+            scores[np.ix_(asking, posting)] += np.multiply.outer(asked[asking], held[posting])
     return scores
 
 
@@ -97,6 +112,13 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(scores, at, axis=1), ids[at]
 
 
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    """Scores of any exact kind in 64 bits."""
+    if scores.dtype == object and scores.size and max(scores.max(), -scores.min()) >= 2**63:
+        raise OverflowError("an inner product is beyond 64 bits")
+    return scores.astype(np.int64)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) -> DataFrame:
     """vectors and queries (vec_id, embedding) -> query_id, rank, vec_id, score: each query's k best.
 
@@ -104,32 +126,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     """
     spark = vectors.sparkSession
     listed = lambda df: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    vectors, queries = listed(vectors), listed(queries).distinct()
-    n, total = queries.count(), vectors.count()
-    blocks = max(1, -(-n * 5 // (QUERY_BLOCK * 4)))
-    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_ROWS)
+    vectors = listed(vectors)
+    asked = materialize(listed(queries).groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("times")), "queries")
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    # a quarter of a block's weights is room for uneven hashing
+    blocks = max(1, -(-n * max(1, width or 0) * 5 // (BLOCK_WEIGHTS * 4)))
+    tasks = max(spark.sparkContext.defaultParallelism, vectors.count() // TASK_ROWS)
     dealt = vectors.coalesce(tasks)
-    out = None
+    path = f"{shared_dir(spark)}/best-{uuid.uuid4().hex}"
+    schema = "query_id long, times long, vec_id long, score long"
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        ids = rows.column("vec_id").to_numpy()
-        keep, weights = weights_of(rows.column("embedding").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())), scale)
-        order = np.lexsort((*weights.T[::-1], ids[keep])) if len(keep) else np.zeros(0, int)
-        spread = spark.sparkContext.broadcast((ids[keep][order], weights[order]))
-        found = dealt.mapInArrow(_search(spread, k, scale), "q int, query_id long, vec_id long, score long")
-        found = found.select(F.lit(block).alias("block"), "*")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rows = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        held = rows.column("embedding").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64()))
+        keep, weights = weights_of(held, scale)
+        ids, times = (rows.column(c).to_numpy()[keep] for c in ("vec_id", "times"))
+        spread = spark.sparkContext.broadcast((ids, times, weights))
+        dealt.mapInArrow(_search(spread, k, scale), schema).write.mode("append").parquet(path)
+        spread.destroy()
+    found = spark.read.schema(schema).parquet(path)
+    found = found.withColumn("again", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k))))).drop("times", "again")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    result = materialize(best, "topk")
+    drop_materialized(asked)
+    drop_materialized(found)
+    return result
 
 
 def _search(spread, k: int, scale: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, weights = spread.value
-        scores = np.full((len(asked), k), _NONE)
-        held = np.full((len(asked), k), np.iinfo(np.int64).max)
+        asked, times, weights = spread.value
         if not len(asked):
             return
+        scores = np.full((len(asked), k), _NONE)
+        held = np.full((len(asked), k), np.iinfo(np.int64).max)
+        by_term: dict = {}  # the queries' weights by term, of each kind in use
         for batch in batches:
             for lo in range(0, batch.num_rows, CANDIDATES):
                 part = batch.slice(lo, CANDIDATES)
@@ -139,17 +170,25 @@ def _search(spread, k: int, scale: int):  # noqa: ANN001, ANN202
                 ids, own = ids[order], own[order]
                 if not len(ids):
                     continue
+                kind, terms = _exact_kind(weights, own), min(weights.shape[1], own.shape[1])
+                if kind not in by_term:
+                    by_term[kind] = _by_term(weights, weights.shape[1], kind)
+                own = _by_term(own, terms, kind)
                 for a in range(0, len(asked), QUERY_ROWS):
                     z = a + QUERY_ROWS
-                    got = accumulate(weights[a:z], own)
-                    got[asked[a:z, None] == ids[None, :]] = _NONE
+                    got = _accumulated(by_term[kind][:terms, a:z], own)
+                    none = -(2**63) if kind is object else np.iinfo(kind).min
+                    same = asked[a:z, None] == ids[None, :]
+                    if same.any():
+                        got[same] = none
                     s, i = best_of(got, ids, k)
+                    s = np.where(s == none, _NONE, _as_long(np.where(s == none, 0, s)))
                     s, i = np.concatenate([scores[a:z], s], axis=1), np.concatenate([held[a:z], i], axis=1)
                     order = np.lexsort((i, -np.maximum(s, _NONE + 1)), axis=-1)[:, :k]  # no 64-bit integer is -_NONE
                     scores[a:z], held[a:z] = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
         q, place = np.nonzero(scores != _NONE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q.astype(np.int32)), pa.array(asked[q]), pa.array(held[q, place]), pa.array(scores[q, place])], ["q", "query_id", "vec_id", "score"]
+            [pa.array(asked[q]), pa.array(times[q]), pa.array(held[q, place]), pa.array(scores[q, place])], ["query_id", "times", "vec_id", "score"]
         )
 
     return run

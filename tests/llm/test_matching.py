@@ -153,13 +153,13 @@ def test_topk_against_numpy(spark):
     many = [i for i, v in rows if i in weights]
     for q in [i for i in weights if i % 20 == 0]:
         dot = lambda a, b: int((a[: min(len(a), len(b))] * b[: min(len(a), len(b))]).sum())
-        best = sorted((-dot(weights[q], weights[i]), i) for i in many if i != q)[:7]
+        best = sorted((-dot(weights[q], weights[i]), i) for i in many if i != q for _ in range(many.count(q)))[:7]
         assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in best]
     assert {r.query_id for r in found} == {i for i in weights if i % 20 == 0}
 
 
 def test_topk_blocks_and_few_rows(spark, monkeypatch):
-    for name, value in (("QUERY_BLOCK", 4), ("QUERY_ROWS", 3), ("CANDIDATES", 10), ("TASK_ROWS", 10)):
+    for name, value in (("BLOCK_WEIGHTS", 20), ("QUERY_ROWS", 3), ("CANDIDATES", 10), ("TASK_ROWS", 10)):
         monkeypatch.setattr(topk, name, value)
     rows = [(k, [k / 64, 1.0]) for k in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -169,5 +169,37 @@ def test_topk_blocks_and_few_rows(spark, monkeypatch):
         others = sorted((-(r.query_id * i + 64 * 64), i) for i in range(30) if i != r.query_id)
         assert (-r.score, r.vec_id) == others[r.rank - 1]
     assert topk.top_k(df.limit(1), df.limit(1)).count() == 0 and topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_topk_at_the_border_of_64_bits(spark):
+    exact = [(1, [2.0**31 / 64]), (2, [2.0**31 / 64]), (3, [2.0**31 * 1.25 / 64]), (4, [-(2.0**31) / 64])]
+    df = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 1")).orderBy("rank").collect()]
+    assert found == [(3, 2**62 * 5 // 4), (2, 2**62), (4, -(2**62))]
     large = spark.createDataFrame([(k, [1e18 * (k + 1)]) for k in range(3)], "vec_id long, embedding array<double>")
-    assert topk.top_k(large, large).count() == 6
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(large, large)
+
+
+def test_topk_repeated_ids_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(v) for v in rng.normal(size=3)]) for i in [*range(30), 20, 20, 7, 7, 40, 40]]
+    rows += [rows[20], rows[20], rows[5], *[rows[0]] * 25]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = ["query_id", "rank", "vec_id", "score"]
+    expected = sorted(db.sql(queries.ORACLE_SQL["op6_topk"]).select(*columns).fetchall())
+    assert sorted(tuple(r) for r in queries.QUERIES["op6_topk"](spark, str(tmp_path)).select(*columns).collect()) == expected
+
+
+def test_sparse_postings():
+    rng = np.random.default_rng(5)
+    q, c = (np.where(rng.random((n, 40)) < share, rng.integers(-9, 9, (n, 40)), 0).astype(float) for n, share in ((7, 0.5), (50, 0.1)))
+    for scale in (1, 2.0**20, 2.0**40):
+        assert (topk.accumulate(q * scale, c * scale).astype(float) == q @ c.T * scale**2).all()
