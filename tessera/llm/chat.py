@@ -1,15 +1,19 @@
 """Chat formatting with typed content parts, as DataFrame expressions alone.
 
 A conversation's turns are marked `<|im_start|>role`, newline, content, `<|im_end|>`,
-newline.  A visitor turns each content part into text of the content: text is escaped,
-so that it can hold no control string; image, audio and document parts become ordered
-placeholders.  Attachments are recorded with their position and the tokens that the
+newline.  A visitor turns each content part into text of the content: image, audio and
+document parts become ordered placeholders, and the text between two of them, of however
+many parts, is escaped as one, so that it can hold no control string, nor form one across
+parts.  Attachments are recorded with their position and the tokens that the
 placeholder expands to.  The loss mask holds the assistants' contents.
 
 Escaping is reversible: backslashes are doubled, then a backslash goes after the first
 character of every control string.  No control string survives it, and unescaping drops
 a backslash and keeps the character that follows.
 
+Turns are placed by a running sum over the conversation's ordered rows, so that time and
+memory grow as its text, however many turns it has.
+
 Cases: null text, role or part is empty; turns are ordered by turn (null first), then
 role, then content; repeated rows are turns of their own; a null conv_id is a
 conversation; extra columns are ignored; an empty table gives no rows.
@@ -20,12 +24,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: What texts may not hold unescaped: all of this template's strings begin with the first; the others belong to common templates.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]")
+#: While parts are joined: what stands for an attachment, and for its first character in texts.
+_MARK, _AS_MARK, _CUT = "\x01", "\x01a", "\x01b"
 #: The type of a content part.
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 
@@ -52,8 +58,9 @@ class PartVisitor:
     chars_per_token: int = 4
 
     def text(self, part: Column) -> tuple[Column, Column]:
+        """The text as it is (it is escaped with its neighbours), and its tokens."""
         said = F.coalesce(part.text, F.lit(""))
-        return escape(said), F.ceil(F.length(said) / F.lit(float(self.chars_per_token)))
+        return said, F.ceil(F.length(said) / F.lit(float(self.chars_per_token)))
 
     def image(self, part: Column) -> tuple[Column, Column]:
         side = lambda x: F.ceil(F.coalesce(x, F.lit(0)) / F.lit(float(self.patch)))
@@ -66,7 +73,7 @@ class PartVisitor:
         return F.lit("<|document|>"), F.greatest(F.lit(1), F.coalesce(part.pages, F.lit(1)) * self.tokens_per_page)
 
     def visit(self, part: Column) -> Column:
-        """struct(kind, uri, content, tokens); an unknown kind is read as text."""
+        """struct(kind, uri, content, tokens): a text or a placeholder; an unknown kind is read as text."""
         kinds: dict[str, Callable] = {"image": self.image, "audio": self.audio, "document": self.document}
         content, tokens = self.text(part)
         for kind, method in kinds.items():
@@ -78,9 +85,14 @@ class PartVisitor:
 
 def text_part(text: Column) -> Column:
     """A content of one text part."""
+    return text_parts(F.array(text))
+
+
+def text_parts(texts: Column) -> Column:
+    """A content of text parts, from an array of texts."""
     null = F.lit(None)
-    fields = [F.lit("text"), text, null.cast("string"), null.cast("int"), null.cast("int"), null.cast("double"), null.cast("int")]
-    return F.array(F.struct(*fields).cast(PART))
+    rest = [null.cast("string"), null.cast("int"), null.cast("int"), null.cast("double"), null.cast("int")]
+    return F.transform(texts, lambda t: F.struct(F.lit("text"), t, *rest).cast(PART))
 
 
 def format_conversations(rows: DataFrame, visitor: PartVisitor | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -98,45 +110,40 @@ def format_conversations(rows: DataFrame, visitor: PartVisitor | None = None, lo
         # a null part is an empty text
         F.transform(parts, lambda p: visitor.visit(F.coalesce(p, F.struct(*[F.lit(x) for x in ("text", "")], *[F.lit(None)] * 5).cast(PART)))).alias("parts"),
     )
+    joined = F.array_join(F.transform("parts", lambda p: F.when(p.kind == "text", F.replace(p.content, F.lit(_MARK), F.lit(_AS_MARK))).otherwise(_CUT)), "")
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n"))
-    # materialised once per turn: heads and contents
     turns = turns.select(
-        "conv_id", "turn", "role", F.array_join(F.col("parts.content"), "").alias("content"), "parts",
+        "conv_id", "turn", "role",
+        # the texts before, between and after the attachments
+        F.transform(F.split(joined, _CUT, -1), lambda t: escape(F.replace(t, F.lit(_AS_MARK), F.lit(_MARK)))).alias("texts"),
+        F.filter("parts", lambda p: p.kind != "text").alias("held"),
+        F.aggregate("parts.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
         F.concat(F.lit(START), role, F.lit("\n")).alias("head"),
     )
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "content", "head", "parts"))).alias("t"))
-    length = lambda t: F.length(t.head) + F.length(t.content) + F.lit(len(END))
-    # the character at which each turn begins
-    starts = F.aggregate(
-        "t",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, t: F.struct((a.at + length(t)).alias("at"), F.concat(a["all"], F.array(a.at)).alias("all")),
-        lambda a: a["all"],
+    pieces = F.zip_with("texts", F.array_append("held.content", F.lit("")), lambda t, p: F.concat(t, p))
+    turns = turns.withColumn("content", F.array_join(pieces, ""))
+    # the character at which each turn begins; the order is total but for equal turns
+    order = [F.col("turn").asc_nulls_first(), "role", "content"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    size = (F.length("head") + F.length("content") + F.lit(len(END))).cast("long")
+    start = F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")) + F.length("head")
+    placed = turns.withColumn("start", start).withColumn("end", F.col("start") + F.length("content"))
+    # attachments of one turn: each begins after all texts and placeholders before it
+    till = lambda k: F.aggregate(F.slice(F.col("texts"), F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(F.col("held.content"), F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+    attached = F.transform(
+        "held",
+        lambda p, k: F.struct(F.col("turn").cast("long").alias("turn"), p.kind.alias("kind"), p.uri.alias("uri"), p.tokens.alias("tokens"), (F.col("start") + till(k)).cast("long").alias("start")),
     )
-    placed = grouped.withColumn("starts", starts)
-    zipped = F.zip_with("t", "starts", lambda t, s: F.struct(t.turn.alias("turn"), t.role.alias("role"), t.parts.alias("parts"), (s + F.length(t.head)).alias("start"), (s + F.length(t.head) + F.length(t.content)).alias("end")))
-    mask = F.transform(F.filter("z", lambda z: z.role.isin(*loss_roles)), lambda z: F.struct(z.start.cast("long").alias("start"), z.end.cast("long").alias("end")))
-
-    def attached(z: Column) -> Column:
-        placed_parts = F.aggregate(
-            z.parts,
-            F.struct(z.start.alias("at"), F.array().cast("array<struct<turn:bigint,kind:string,uri:string,tokens:bigint,start:bigint>>").alias("all")),
-            lambda a, p: F.struct(
-                (a.at + F.length(p.content)).alias("at"),
-                F.when(p.kind == "text", a["all"]).otherwise(
-                    F.concat(a["all"], F.array(F.struct(z.turn.cast("long").alias("turn"), p.kind.alias("kind"), p.uri.alias("uri"), p.tokens.alias("tokens"), a.at.cast("long").alias("start"))))
-                ).alias("all"),
-            ),
-            lambda a: a["all"],
-        )
-        return placed_parts
-
-    return placed.withColumn("z", zipped).select(
+    told = placed.select("conv_id", "start", "end", "role", "tokens", F.concat("head", "content", F.lit(END)).alias("said"), attached.alias("attached"))
+    # turns come one behind the other: ordered by where they start
+    grouped = told.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "role", "said", "attached"))).alias("t"), F.sum("tokens").alias("tokens"))
+    mask = F.transform(F.filter("t", lambda t: t.role.isin(*loss_roles)), lambda t: F.struct(t.start.alias("start"), t.end.alias("end")))
+    return grouped.select(
         "conv_id",
-        F.array_join(F.transform("t", lambda t: F.concat(t.head, t.content, F.lit(END))), "").alias("formatted"),
+        F.array_join("t.said", "").alias("formatted"),
         mask.alias("loss_mask"),
-        F.flatten(F.transform("z", attached)).alias("attachments"),
-        F.aggregate(F.flatten(F.transform("t", lambda t: t.parts.tokens)), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
+        F.flatten("t.attached").alias("attachments"),
+        "tokens",
     )
 
 
@@ -153,5 +160,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substr(formatted, (s.start + 1).cast("int"), (s.end - s.start).cast("int")))), "")
+    """All text under the loss mask, unescaped, with nothing between.
+
+    Spans are cut from a form of four bytes a character, bound once, where a place is found at no cost.
+    """
+    cut = lambda b, s: F.decode(F.substr(b, (4 * s.start + 1).cast("int"), (4 * (s.end - s.start)).cast("int")), "UTF-32")
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-32")), lambda b: F.array_join(F.transform(mask, lambda s: unescape(cut(b, s))), "")), F.lit(0))
