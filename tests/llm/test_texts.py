@@ -171,6 +171,48 @@ def test_mixing_ranges(spark, monkeypatch):
         assert all(0 <= per[s] - q < 15 for s, q in quotas.items())
 
 
+def plain_mix(spark, df, seed, **settings):
+    """The schedule in plain Python, from the documents' keys: whole blocks, and of the last as much as begins within the budget."""
+    quotas = {r.source: (r.tokens, r.quota) for r in mixing.weights(df, **settings).collect()}
+    by = {}
+    for r in mixing.keyed(df, seed).collect():
+        by.setdefault(r.source, []).append((r.key, r.tie, r.tokens, r.row.doc_id))
+    out = []
+    for source, (tokens, quota) in quotas.items():
+        out += [(source, block, r[3]) for block in range(quota // tokens) for r in by[source]]
+        left = quota % tokens
+        for r in sorted(by[source], key=lambda r: r[:2]):
+            if left > 0:
+                out.append((source, quota // tokens, r[3]))
+            left -= r[2]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("size", [1, 7, 2000])
+def test_mixing_against_plain_python(spark, monkeypatch, size):
+    """Each block's documents, with repeated rows, ties, long texts and columns named as the operator's own."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", size)
+    rows = [(k, "word " * (1 + k % 11), "hot" if k % 3 else f"s{k % 4}") for k in range(300)]
+    rows += [(900, "the same text", "same")] * 200 + [(901, "x " * 50_000, "long"), (902, "y", "long"), (None, "no id", None), (None, None, "hot"), (7, "", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for c in ("place", "key", "tie", "_s", "_tokens", "tokens", "whole", "row", "copies"):
+        df = df.withColumn(c, F.lit("mine"))
+    df = df.withColumn("block", F.col("doc_id")).withColumn("held", F.create_map(F.lit("a"), F.lit(1)))
+    for settings in ({"target": 0.97, "repeats": 4.0}, {"target": 0.9, "repeats": 2.0, "budget": 3001}):
+        out = mixing.mix(df, seed=3, **settings)
+        assert set(out.columns) == {*df.columns, "block_in", "place_in"}
+        got = out.collect()
+        assert sorted(((r.source or "", r.block, r.doc_id) for r in got), key=repr) == plain_mix(spark, df, 3, **settings)
+        assert all(r.place_in == r.key == r._tokens == "mine" and r.block_in == r.doc_id and isinstance(r.place, int) for r in got)
+
+
+def test_a_source_of_equal_rows_keeps_its_quota(spark):
+    df = spark.createDataFrame([(1, "four words in here", "x")] * 200 + [(k, "other text of the second source", "y") for k in range(2, 600)], "doc_id long, text string, source string")
+    quota = {r.source: r.quota for r in mixing.weights(df, 0.9999).collect()}
+    got = sum(-(-len(r.text.encode()) // 4) for r in mixing.mix(df, 0.9999).collect() if r.source == "x")
+    assert quota["x"] <= got < quota["x"] + 5
+
+
 def test_empty_mix(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
