@@ -61,32 +61,45 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
+#: Classes that labels may have, at most: a row for each reaches the driver.
+CLASSES = 10_000
+
+
 def _shares(df: DataFrame, strata: str, bound: int) -> dict:
-    """By stratum, how many of the _SPACE draws keep a row. Strata are class labels: a handful of rows reach the driver."""
-    return {r[0]: _SPACE if r[1] <= bound else int(_SPACE * bound / r[1]) for r in df.groupBy(strata).count().collect()}
+    """By stratum, how many of the _SPACE draws keep a row."""
+    counts = df.groupBy(strata).count().limit(CLASSES + 1).collect()
+    if len(counts) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    return {r[0]: _SPACE if r[1] <= bound else int(_SPACE * bound / r[1]) for r in counts}
 
 
-def weighted_sample(df: DataFrame, key: str, bound: int, strata: str) -> tuple[DataFrame, dict]:
-    """bounded_sample by stratum, and the rows that a kept row of each stratum stands for."""
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_SPACE))
+def weighted_sample(df: DataFrame, keys: list[str], bound: int, strata: str, salt: str = "sample") -> tuple[DataFrame, dict]:
+    """About `bound` rows of each stratum, chosen by a hash of `keys` (all where there are fewer),
+    and the rows that a kept row of each stratum stands for.
+
+    Only used to fit classifiers.  A first, column-pruned pass counts the rows, so that
+    the sample's size doesn't depend on the table's.  Rows of equal keys are one row.
+    """
+    draw = F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(_SPACE))
     shares = _shares(df, strata, bound)
     keep = F.lit(False)
     for value, share in shares.items():
         keep = keep | (F.col(strata).eqNullSafe(F.lit(value)) & (draw < share))
-    return df.where(keep), {value: _SPACE / max(1, share) for value, share in shares.items()}
+    return df.where(keep).dropDuplicates([*keys, strata]), {value: _SPACE / max(1, share) for value, share in shares.items()}
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, strata: str | None = None) -> DataFrame:
-    """About `bound` rows (per stratum), chosen by a hash of `key`; all rows when there are fewer.
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, dict]:
+    """docs (doc_id, text) and labels (doc_id, label) -> (text, label) of about `bound` documents a label, materialized,
+    and the documents that a row of each label stands for.
 
-    Only used to fit classifiers.  A first, column-pruned pass counts the rows, so
-    the sample's size doesn't depend on the table's.
+    The sampled labels are what is broadcast.  Where many rows repeat a sampled id, its rows are sampled in turn.
     """
-    if strata is not None:
-        return weighted_sample(df, key, bound, strata)[0]
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_SPACE))
-    n = df.select(key).count()
-    return df if n <= bound else df.where(draw < int(_SPACE * bound / n))
+    usable = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+    known, first = weighted_sample(usable, ["doc_id"], bound, "label")
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    held = materialize(found.dropDuplicates(["doc_id", "text", "label"]), "labelled")
+    rows, second = weighted_sample(held, ["doc_id", "text"], bound, "label", "rows")
+    return rows.select("text", "label"), {value: first[value] * n for value, n in second.items()}
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 1000) -> DataFrame:

@@ -1,37 +1,33 @@
 """Language identification by a byte convolutional network.
 
 Filters of several widths over fixed-length byte windows, max pooling and softmax,
-trained in numpy on a bounded sample of labelled text.  A prediction reads the whole
-text: consecutive windows tile it (each looks ahead into the next, so no position is
-lost at a border), and the windows' logits are averaged by their share of the bytes.
+trained in numpy on a bounded sample of labelled rows.  Training and prediction read whole
+texts: consecutive windows tile them (each looks ahead into the next, so no position is
+lost at a border); in a prediction the windows' logits are averaged by their share of the
+bytes.
 
-Cases: null text or text without any letter gives `und` with score 1; without any
-labelled row every other text is `und` with score 0; with one language all texts get
-it; rows with null ids keep their row; extra columns are ignored; repeated rows each
-get a row.
+Cases: null text or text without any letter (of Unicode's categories L) gives `und` with
+score 1; without any labelled row every other text is `und` with score 0; with one
+language all texts get it; rows with null ids keep their row, and are trained on as well;
+extra columns are ignored; repeated rows each get a row, and are trained on once; equal
+scores go to the first language by name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, logits, pooled, softmax, train, windows_of
-from .common import bounded_sample, map_arrow
+from .common import map_arrow, weighted_sample
 from .texthash import buffer_of
 
 #: Positions of a window.
 SIZE = 256
 #: Labelled rows used per language, at most.
-BOUND = 1500
-#: Pieces of each sampled text, and their characters.
-PIECES, PIECE_CHARS = 3, 300
+BOUND = 400
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Letters fold to lower case; other ASCII bytes say nothing of the language.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -40,17 +36,19 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[0] = 0
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def fit(labelled: DataFrame, bound: int = BOUND) -> tuple[ByteCNN | None, list[str]]:
-    """Train on labelled (doc_id, text, lang): a bounded sample of rows, a few bounded pieces of each."""
-    rows = bounded_sample(labelled.where("text is not null and lang is not null"), "doc_id", bound, "lang")
-    room = F.greatest(F.lit(1), F.length("text") - PIECE_CHARS)
-    pieces = F.array(*[F.substr("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), room)).cast("int"), F.lit(PIECE_CHARS)) for k in range(PIECES)])
-    got = rows.select("lang", F.explode(F.array_distinct(pieces)).alias("piece"), "doc_id").collect()
-    got = sorted((r.lang, r.doc_id or 0, r.piece) for r in got if _LETTER.search(r.piece))
+    """Train on labelled (doc_id, text, lang): all windows of a bounded sample of rows of each language."""
+    known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    rows, _ = weighted_sample(known, ["doc_id", "text"], bound, "lang")
+    got = sorted((r.lang, r.text) for r in rows.select("lang", "text").collect() if has_letter(r.text))
     names = sorted({x[0] for x in got})
     if len(names) < 2:
         return None, names
-    raw, offsets = buffer_of(pa.array([x[2] for x in got]))
+    raw, offsets = buffer_of(pa.array([x[1] for x in got]))
     widths = (6, 4, 2)
     windows, row, _ = windows_of(_FOLD[raw], offsets, SIZE, SIZE, max(widths) - 1)
     labels = np.array([names.index(x[0]) for x in got])[row]
@@ -63,7 +61,7 @@ def identify(docs: DataFrame, net: ByteCNN | None, names: list[str]) -> DataFram
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
-        lettered = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
+        lettered = np.array([has_letter(t) for t in column.to_pylist()], bool)
         raw, offsets = buffer_of(column)
         if net is None:
             lang = np.where(lettered, names[0] if names else "und", "und")

@@ -1,13 +1,14 @@
 """Document quality by a byte-level convolutional network.
 
-The network of `bytecnn` reads overlapping chunks that cover the whole document.  Each
-chunk's max-pooled responses give a log-odds; mean, greatest and least log-odds of the
+The network of `bytecnn` reads overlapping chunks that cover the whole document, in
+training as in scoring.  Each chunk's max-pooled responses give a log-odds; mean, greatest and least log-odds of the
 document's chunks and the pooled responses of the whole document (the maximum over all
 chunks) are combined by a logistic layer into one probability of a good document.
 
 Cases: null and empty texts are one chunk of padding and get a score as well; without
 labelled rows of both classes every score is the share of label 1 (0.5 without any
-row); extra columns are ignored; repeated rows each get a row.
+row); rows with null ids keep their row; extra columns are ignored; repeated rows each get
+a row of the same score, and are trained on once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,18 +16,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, logits, pooled, train, windows_of
-from .common import bounded_sample, map_arrow
+from .common import drop_materialized, labelled_sample, map_arrow
 from .texthash import buffer_of
 
 #: Positions of a chunk and the distance of two chunks.
 SIZE, STEP = 512, 448
-#: Labelled rows used, at most.
-BOUND = 4000
-#: Pieces of each sampled text that train the filters, and their characters.
-PIECES, PIECE_CHARS = 3, 560
+#: Labelled rows used per class, at most.
+BOUND = 2000
 
 
 def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, rows: np.ndarray | float = 1.0) -> np.ndarray:
@@ -62,19 +60,15 @@ def _features(net: ByteCNN, tables: list[np.ndarray], column: pa.Array) -> np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
-    """Train on docs (doc_id, text) and labels (doc_id, label): filters on pieces, the combination on whole documents.
-
-    The sampled labels (about `bound` rows) are what is broadcast; the texts stay where they are.
+    """Train on docs (doc_id, text) and labels (doc_id, label): filters on all chunks, the combination on whole
+    documents, of a bounded sample of each class; each row counts for the rows of its class that it stands for.
     """
-    known = bounded_sample(labels.where("label is not null and doc_id is not null").distinct(), "doc_id", bound)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    room = F.greatest(F.lit(1), F.length("text") - PIECE_CHARS)
-    pieces = F.array(*[F.substr("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), room)).cast("int"), F.lit(PIECE_CHARS)) for k in range(PIECES)])
-    got = sorted((r.doc_id or 0, r.piece, r.label) for r in rows.select("doc_id", F.explode(F.array_distinct(pieces)).alias("piece"), "label").collect())
-    y = np.array([int(x[2]) for x in got])
+    rows, stands_for = labelled_sample(docs, labels, bound)
+    got = sorted((r.text, r.label) for r in rows.collect())
+    y = np.array([int(x[1]) for x in got])
     if len(set(y.tolist())) < 2:
         return {"net": None, "share": float(y.mean()) if len(y) else 0.5}
-    raw, offsets = buffer_of(pa.array([x[1] for x in got]))
+    raw, offsets = buffer_of(pa.array([x[0] for x in got]))
     widths = (6, 4, 2)
     windows, row, _ = windows_of(raw, offsets, SIZE, STEP, max(widths) - 1)
     net = train(windows, y[row], 2, widths, count=16, epochs=4, steps=400)
@@ -84,12 +78,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
         f = _features(*spread.value, batch.column("text"))
         return pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), batch.column("label").cast(pa.int32())], ["f", "label"])
 
-    whole = map_arrow(rows.select("text", "label"), run, "f array<double>, label int", rows=500).collect()
+    whole = map_arrow(rows, run, "f array<double>, label int", rows=500).collect()
+    drop_materialized(rows)
     features, labels = np.array([r.f for r in whole]), np.array([r.label for r in whole])
     order = np.lexsort([*features.T[:4], labels])
     features, labels = features[order], labels[order]
     centre, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
-    return {"net": net, "centre": centre, "scale": scale, "weights": logistic((features - centre) / scale, labels, ridge=2.0)}
+    rows_of = np.array([stands_for[y] for y in labels])
+    return {"net": net, "centre": centre, "scale": scale, "weights": logistic((features - centre) / scale, labels, ridge=2.0, rows=rows_of)}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

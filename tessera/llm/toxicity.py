@@ -11,8 +11,10 @@ aggregated by the sum statistic, and a logistic curve, fitted on the training ro
 each row's own counts taken out, turns it into a probability.
 
 Cases: null and empty texts score as texts without any segment; without labelled rows
-of both classes every score is the share of label 1 (0 without any row); extra columns
-are ignored; repeated rows each get a row; whole texts are read, whatever their length.
+of both classes every score is the share of label 1 (0 without any row); rows with null
+ids keep their row; extra columns are ignored; repeated rows each get a row of the same
+score, and are trained on once; of segments that could end at several places the shortest
+is taken; whole texts are read, whatever their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts_of, weighted_sample
+from .common import drop_materialized, labelled_sample, map_arrow, texts_of
 from .quality import logistic
 
-#: Labelled rows used per class, and tokens kept, at most.
-BOUND, VOCABULARY = 5000, 50_000
-#: Cost of a token without weight; standard errors taken off; least weight.
+#: Labelled rows used per class, at most.
+BOUND = 5000
+#: Cost of a token without weight; standard errors taken off; least weight.  Of 0.02, 0.05, 0.1; 1, 1.5, 2; 1, 1.5, 2 those
+#: with the least product of log losses in three-fold cross-validations inside the training rows of two labelled tables.
 DRIFT, ERRORS, LEAST = 0.05, 1.5, 2.0
 #: Significance of a reported passage: the expected number of such in a clean text.
 EXPECTED = 0.05
@@ -121,17 +124,47 @@ def _shape(best: np.ndarray, top: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(best), np.log1p(top)])
 
 
+def _kept(token_counts: list[tuple[str, int, int]], docs_of: tuple[int, int]) -> dict[str, tuple[int, int]]:
+    """Tokens (token, toxic documents, documents) that tell something in either direction: token -> (toxic, clean)."""
+    rate = docs_of[0] / sum(docs_of)
+    return {w: (t, n - t) for w, t, n in token_counts if n >= 3 and abs(t - n * rate) > 2 * math.sqrt(n * rate * (1 - rate))}
+
+
+def _left_out(weights: Weights, text: str, toxic: bool) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """A training text's scores without its own counts, and its segments."""
+    words = _WORD.findall(text.lower())
+    scores = weights.without(words, toxic)
+    return scores, segments(scores) if words else []
+
+
+def _decay(positive: dict[float, int], loss: float, losses: int) -> float:
+    """The law's lambda, from how often each positive score occurs in clean texts and the sum of the others."""
+    values = np.array([*sorted(positive), loss / max(1, losses)])
+    shares = np.array([*(positive[v] for v in sorted(positive)), max(1, losses)], float)
+    shares /= shares.sum()
+    found = _root(values, shares) if float(shares @ values) < 0 else 1e-3
+    return min(found, 1.0)  # log-odds are in natural units already
+
+
+def _curve(stats: list[tuple[int, float, float]], stands_for: dict) -> np.ndarray:
+    """The logistic curve over (label, best, sum statistic) of the training texts."""
+    stats = sorted(stats)
+    y = np.array([s[0] for s in stats])
+    rows_of = np.array([stands_for[s[0]] for s in stats])
+    features = _shape(np.array([s[1] for s in stats]), np.array([s[2] for s in stats]))
+    return logistic(features, y, ridge=0.1, rows=rows_of) if 0 < y.sum() < len(y) else np.zeros(3)
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
     """Train on docs (doc_id, text) and labels (doc_id, label), a bounded sample of each class.
 
     In the logistic curve a sampled row counts for all rows of its class that it stands
     for, so that the scores hold for the true share of toxic texts at every size.
-    The sampled labels are what is broadcast; counting and scoring run on the executors,
-    and at most VOCABULARY tokens and one line of features a sampled row reach the driver.
+    Counting and scoring run on the executors over the sample alone; what reaches the
+    driver are its telling tokens, how often each score occurs (in steps of 1/1000), and
+    two numbers a sampled row.
     """
-    usable = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
-    known, stands_for = weighted_sample(usable, "doc_id", bound, "label")
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    rows, stands_for = labelled_sample(docs, labels, bound)
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, label = [], []
@@ -143,50 +176,46 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict:
         return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(label, pa.int32())], ["token", "label"])
 
     counted = map_arrow(rows, tokens, "token string, label int", rows=200).groupBy("token").agg(F.sum(F.col("label").cast("long")).alias("t"), F.count(F.lit(1)).alias("n"))
-    number = counted.where("token = ''").first()
-    docs_of = (number.t, number.n - number.t) if number else (0, 0)
+    held = [(r.token, r.t, r.n) for r in counted.where("token = '' or n >= 3").collect()]
+    number = next(((t, n) for w, t, n in held if not w), (0, 0))
+    docs_of = (number[0], number[1] - number[0])
     if not all(docs_of):
+        drop_materialized(rows)
         return {"share": docs_of[0] / max(1, sum(docs_of))}
-    # kept: tokens that tell something in either direction
-    rate = docs_of[0] / sum(docs_of)
-    telling = F.abs(F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    kept = counted.where(f"token <> '' and n >= 3").where(telling > 2).orderBy(telling.desc(), "token").limit(VOCABULARY).collect()
-    weights = Weights({r.token: (r.t, r.n - r.t) for r in kept}, docs_of)
+    weights = Weights(_kept([x for x in held if x[0]], docs_of), docs_of)
     spread = docs.sparkSession.sparkContext.broadcast((weights.counts, docs_of))
 
-    def left_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = Weights(*spread.value)
-        label, size, best, sums, cells, minus = batch.column("label").to_pylist(), [], [], [], [], []
-        for text, y in zip(texts_of(batch), label, strict=True):
-            words = _WORD.findall(text.lower())
-            scores = own.without(words, bool(y))
-            found = segments(scores) if words else []
-            size.append(len(words))
-            best.append([s for _, _, s in found])
-            cells.append(scores[scores > 0].tolist())
-            sums.append(float(scores[scores < 0].sum()))
-            minus.append(int((scores < 0).sum()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(label, pa.int32()), pa.array(size, pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.float64())), pa.array(sums, pa.float64()), pa.array(minus, pa.int64())],
-            ["label", "n", "segments", "positive", "loss", "losses"],
-        )
-
-    seen = map_arrow(rows, left_out, "label int, n long, segments array<double>, positive array<double>, loss double, losses long", rows=200).collect()
-    clean = [r for r in seen if r.label == 0 and r.n]
-    values = np.array([v for r in clean for v in r.positive])
-    losses, loss = sum(r.losses for r in clean), sum(r.loss for r in clean)
-    values = np.append(np.sort(values), loss / max(1, losses))
-    shares = np.append(np.ones(len(values) - 1), max(1, losses))
-    shares = shares / shares.sum()
-    exponent = _root(values, shares) if float(shares @ values) < 0 else 1e-3
-    exponent = min(exponent, 1.0)  # log-odds are in natural units already
-    scale = len(clean) / sum(r.n * math.exp(-exponent * max(r.segments, default=0.0)) for r in clean) if clean else 1.0
-    stats = sorted((r.label, *_summary([(0, 0, s) for s in r.segments], r.n, exponent, scale)) for r in seen)
-    y = np.array([s[0] for s in stats])
-    rows_of = np.array([stands_for[s[0]] for s in stats])
-    features = _shape(np.array([s[1] for s in stats]), np.array([s[2] for s in stats]))
-    curve = logistic(features, y, ridge=0.1, rows=rows_of) if 0 < y.sum() < len(y) else np.zeros(3)
-    return {"counts": weights.counts, "docs": docs_of, "rate": exponent, "scale": scale, "curve": curve}
+    def of_clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, values, counts = Weights(*spread.value), [], []
+        for text in texts_of(batch):
+            scores = np.round(_left_out(own, text, False)[0], 3)
+            v, c = np.unique(scores, return_counts=True)
+            values += v.tolist()
+            counts += c.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), pa.array(counts, pa.int64())], ["v", "n"])
+
+    told = map_arrow(rows.where("label = 0"), of_clean, "v double, n long", rows=200).groupBy("v").agg(F.sum("n").alias("n")).collect()
+    below = [(r.v, r.n) for r in told if r.v < 0]
+    decay = _decay({r.v: r.n for r in told if r.v > 0}, sum(v * n for v, n in below), sum(n for _, n in below))
+
+    def of_best(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, found = Weights(*spread.value), []
+        for text in texts_of(batch):
+            scores, held = _left_out(own, text, False)
+            found.append(len(scores) * math.exp(-decay * max((s for _, _, s in held), default=0.0)))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], ["k"])
+
+    clean, chance = map_arrow(rows.where("label = 0"), of_best, "k double", rows=200).where("k > 0").agg(F.count("k"), F.sum("k")).first()
+    scale = clean / chance if clean else 1.0
+
+    def summaries(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, label = Weights(*spread.value), batch.column("label").to_pylist()
+        found = [_summary(held, len(scores), decay, scale) for scores, held in (_left_out(own, text, bool(y)) for text, y in zip(texts_of(batch), label, strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], ["label", "best", "top"])
+
+    seen = map_arrow(rows, summaries, "label int, best double, top double", rows=200).collect()
+    drop_materialized(rows)
+    return {"counts": weights.counts, "docs": docs_of, "rate": decay, "scale": scale, "curve": _curve([tuple(r) for r in seen], stands_for)}
 
 
 class Scorer:
