@@ -3,16 +3,23 @@
 Texts become templates: numbers, capitalised names inside a sentence and units after a
 number turn into typed placeholders, runs of one type into a single one.  Windows of
 `WIDTH` template tokens are hashed; a filter of fixed size over the benchmark's windows
-drops the documents' other windows on the spot, and the rest are hash-joined.  An item
-is found in a document if its windows cover enough of it and its slots are consistent:
-along one alignment, a value of the item always meets the same value of the document.
-Windows of more slots than words say too little and are left out; an item with fewer than
-two others is also found where all its words and signs stand as they are, letter case aside.
-
-Cases: null and empty texts match nothing; an item of fewer than SHORTEST words and signs
-says too little and is matched by none, and one of fewer template tokens only as it
-stands; items of fewer than WIDTH tokens are one window; repeated rows and ids count once; rows with null ids take no part; extra
-columns are ignored.
+drops the documents' other windows on the spot, and the rest are hash-joined.  Windows
+that match at one distance between document and item lie on one line.  A line counts if its
+slots are consistent: a value of the item always meets the same value of the document.
+An item is found if the lines that count cover enough of its windows, or one of them holds
+a long run of consecutive ones.
+
+Windows of more slots than words say too little on their own.  An item with fewer than two
+others is found where all its windows, these included, lie on one line, or where all its
+words and signs stand as they are, letter case aside.  An item of fewer than SHORTEST words
+and signs is found in documents that consist of it alone.
+
+Cases: null and empty texts match nothing, and so does an item without words; items of
+fewer than WIDTH tokens are one window; repeated rows and ids count once; rows of one item
+id with different texts are texts of their own, any of which may be found; rows with null
+ids take no part; very long texts are read as a whole; of several lines the one with the
+most windows, then the fewest changed values, tells slots and changed; extra columns are
+ignored; without documents or items there are no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +28,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, filter_of, in_filter, map_arrow, materialize
 from .texthash import U, buffer_of, folded_values, mix, window_hashes, word_hashes, word_spans
 
-#: Tokens of a window, and the least tokens of an item.
+#: Tokens of a window, and the least words and signs of an item that is searched for inside documents.
 WIDTH, SHORTEST = 8, 5
 #: An item is found at this share of its windows, or at a run of this many tokens.
 COVERAGE, RUN = 0.5, 13
@@ -49,7 +56,9 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "+-*/=<>^%"]] = True
 _BREAK = ~_WORD
 _BREAK[[ord(c) for c in " \t,-'/()"]] = False
-_NUMBER, _NAME, _UNIT, _EXACT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
+_NUMBER, _NAME, _UNIT, _EXACT, _WHOLE = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104, 105))
+#: Ways in which an item is searched for: windows that may stand alone; then, all on one line: all windows, exact ones; the whole document.
+_ALONE, _SLOTTED, _STANDING, _ENTIRE = range(4)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -92,12 +101,11 @@ def templates(column: pa.Array, inside: bool = False) -> tuple[np.ndarray, np.nd
     return tokens, values, np.searchsorted(at, first)
 
 
-def _windows(column: pa.Array, widths: list[int], whole: bool, inside: bool = False) -> tuple[np.ndarray, ...]:
-    """Windows that lie in one row and hold words enough: hash, row, position, width, all slot values.
+def _cut(tokens: np.ndarray, values: np.ndarray, first: np.ndarray, widths: list[int], whole: bool, least_words: float) -> tuple[np.ndarray, ...]:
+    """Windows that lie in one row, a share of them words at least: hash, row, position, width, all slot values.
 
     whole: a row with fewer than WIDTH tokens gives one window of its own size instead.
     """
-    tokens, values, first = templates(column, inside)
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), counts)
     found = []
@@ -106,38 +114,56 @@ def _windows(column: pa.Array, widths: list[int], whole: bool, inside: bool = Fa
         if not len(h):
             continue
         words = np.convolve((values == 0).astype(np.int32), np.ones(width, np.int32), "valid")
-        ok = (np.arange(len(h)) + width <= first[1:][row[: len(h)]]) & (2 * words >= width)
+        ok = (np.arange(len(h)) + width <= first[1:][row[: len(h)]]) & (words >= least_words * width)
         if whole and width < WIDTH:
             ok &= counts[row[: len(h)]] == width
         at = np.flatnonzero(ok)
         found.append((mix(h[at] + U(width)), row[at], at - first[row[at]], np.full(len(at), width), at))
     if not found:
         z = np.zeros(0, np.int64)
-        return z.view(np.uint64), z, z, z, values
+        return z.view(np.uint64), z, z, z, (values, z)
     h, r, p, w, at = (np.concatenate(x) for x in zip(*found, strict=True))
     return h, r, p, w, (values, at)
 
 
-def _exact_windows(column: pa.Array, widths: list[int], whole: bool) -> tuple[np.ndarray, ...]:
-    """Like _windows, of case-folded words and signs as they stand, without templates."""
+def _windows(column: pa.Array, widths: list[int], whole: bool, inside: bool = False, least_words: float = 0.5) -> tuple[np.ndarray, ...]:
+    """Windows of templates."""
+    return _cut(*templates(column, inside), widths, whole, least_words)
+
+
+def _exact_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like templates, of case-folded words and signs as they stand: there are no slots."""
     raw, offsets = buffer_of(column)
     spans = [word_spans(raw, offsets, kind)[:2] for kind in (_WORD, _SIGN)]
     starts, ends = (np.concatenate(x) for x in zip(*spans, strict=True))
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    tokens, first = word_hashes(raw, starts, ends, folded_values()), np.searchsorted(starts, offsets)
+    tokens = word_hashes(raw, starts, ends, folded_values())
+    return tokens, np.zeros(len(tokens), np.uint64), np.searchsorted(starts, offsets)
+
+
+def _exact_windows(column: pa.Array, widths: list[int], whole: bool) -> tuple[np.ndarray, ...]:
+    h, *rest = _cut(*_exact_tokens(column), widths, whole, 0)
+    return mix(h ^ _EXACT), *rest
+
+
+def _entire(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
+    """Rows of fewer than SHORTEST words and signs as one window each: as they stand, and as templates of two words at least."""
+    tokens, none, first = _exact_tokens(column)
     counts = np.diff(first)
-    row = np.repeat(np.arange(len(counts)), counts)
-    found = []
-    for width in widths:
-        h = window_hashes(tokens, width)
-        ok = np.arange(len(h)) + width <= first[1:][row[: len(h)]]
-        if whole and width < WIDTH:
-            ok &= counts[row[: len(h)]] == width
-        at = np.flatnonzero(ok)
-        found.append((mix((h[at] + U(width)) ^ _EXACT), row[at], at - first[row[at]], np.full(len(at), width), at))
-    h, r, p, w, at = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h, r, p, w, (np.zeros(len(tokens), np.uint64), at)
+    out = []
+    for k, (own, values, begin) in enumerate(((tokens, none, first), templates(column))):
+        size = np.diff(begin)
+        held = []
+        for width in range(1, SHORTEST):
+            row = np.flatnonzero((size == width) & (counts < SHORTEST))
+            words = np.add.reduceat(np.append(values == 0, False).astype(int), begin[row])[: len(row)] if len(row) else row
+            row = row[(words >= 2) | (k == 0)] if len(row) else row
+            h = window_hashes(own, width)[begin[row]] if len(row) else np.zeros(0, np.uint64)
+            held.append((mix((h + U(width + 64 * k)) ^ _WHOLE), row, np.zeros(len(row), np.int64), np.full(len(row), width), begin[row]))
+        h, r, p, w, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        out.append((h, r, p, w, (values, at)))
+    return out
 
 
 def _slots(held: tuple, pick: np.ndarray, widths: np.ndarray) -> list:
@@ -150,26 +176,36 @@ def _slots(held: tuple, pick: np.ndarray, widths: np.ndarray) -> list:
     return out
 
 
-def _batch(ids: pa.Array, id_name: str, found: tuple, pick: np.ndarray, form: np.ndarray | None = None) -> pa.RecordBatch:
-    """form: of each row of ids, what tells texts apart whose windows must all be found; 0 for templates."""
+def _batch(ids: pa.Array, id_name: str, found: tuple, pick: np.ndarray, form: int = 0, said: np.ndarray | None = None) -> pa.RecordBatch:
+    """form: the way in which the item is searched for; said: of each row of ids, what tells its texts apart."""
     h, row, place, width, held = found
     slots = _slots(held, pick, width) if len(pick) else []
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h[pick].view(np.int64)), ids.take(pa.array(row[pick])), pa.array(place[pick].astype(np.int32)), pa.array(width[pick].astype(np.int32)), pa.array(slots, pa.list_(pa.int64())),
-         pa.array(np.zeros(len(pick), np.int64) if form is None else form[row[pick]])],
-        ["w", id_name, "place", "width", "slots", "form"],
-    )
+    own = [pa.array(h[pick].view(np.int64)), ids.take(pa.array(row[pick])), pa.array(place[pick].astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))]
+    names = ["w", id_name, "place", "slots"]
+    if said is not None:
+        own += [pa.array(width[pick].astype(np.int32)), pa.array(np.full(len(pick), form, np.int32)), pa.array(said[row[pick]])]
+        names += ["width", "form", "said"]
+    return pa.RecordBatch.from_arrays(own, names)
 
 
 def hash_of(text: str | None) -> int:
-    """A number of a text, not 0."""
-    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=7).digest()) + 1
+    """A number of a text."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=7).digest())
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0] if sum(p.num_rows for p in parts) else parts[0]
 
 
+def _longest_run(places: Column) -> Column:
+    """The most consecutive numbers in an ascending array."""
+    step = lambda a, p: F.struct(
+        p.alias("last"), F.when(p == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["best"], F.when(p == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")
+    )
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best"))
+    return F.aggregate(places, start, step, lambda a: a["best"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> one row per document and item found in it.
 
@@ -181,69 +217,70 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def of_items(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, ids = batch.column("text"), batch.column("item_id").cast(pa.int64())
-        found, other, exact = _windows(text, sizes, True), _windows(text, sizes, True, inside=True), _exact_windows(text, sizes, True)
-        # where the item stands inside a sentence, its first word may read as a name
-        other_pick = np.flatnonzero((other[2] == 0) & ~np.isin(other[0], found[0]))
+        said = np.array([hash_of(t) for t in text.to_pylist()], np.int64)
+        found, other = _windows(text, sizes, True), _windows(text, sizes, True, inside=True)
         few = np.bincount(found[1], minlength=batch.num_rows) < 2
-        form = np.array([hash_of(t) for t in text.to_pylist()], np.int64)
-        return _joined([
-            _batch(ids, "item_id", found, np.arange(len(found[0]))), _batch(ids, "item_id", other, other_pick),
-            _batch(ids, "item_id", exact, np.flatnonzero(few[exact[1]]), form),
-        ])
+        # where the item stands inside a sentence, its first word may read as a name
+        also = lambda a, b: np.flatnonzero((b[2] == 0) & ~np.isin(b[0], a[0]))
+        parts = [_batch(ids, "item_id", found, np.arange(len(found[0])), _ALONE, said), _batch(ids, "item_id", other, also(found, other), _ALONE, said)]
+        slotted, beside = _windows(text, sizes, True, least_words=0), _windows(text, sizes, True, inside=True, least_words=0)
+        rows = np.arange(batch.num_rows)
+        told = np.bincount(rows.repeat(np.diff(templates(text)[2])), weights=templates(text)[1] == 0, minlength=batch.num_rows) >= 2
+        parts += [_batch(ids, "item_id", f, p[(few & told)[f[1][p]]], _SLOTTED, said) for f, p in ((slotted, np.arange(len(slotted[0]))), (beside, also(slotted, beside)))]
+        exact = _exact_windows(text, sizes, True)
+        parts.append(_batch(ids, "item_id", exact, np.flatnonzero(few[exact[1]]), _STANDING, said))
+        parts += [_batch(ids, "item_id", f, np.arange(len(f[0])), _ENTIRE, said) for f in _entire(text)]
+        return _joined(parts)
 
-    shape = "place int, width int, slots array<long>, form long"
     items = benchmark.where("item_id is not null").select("item_id", "text").dropDuplicates(["item_id", "text"])
-    items = materialize(map_arrow(items, of_items, f"w long, item_id long, {shape}", rows=500), "windows")
-    kinds = items.select("width", (F.col("form") != 0).alias("exact")).distinct().collect()
-    used = [sorted({r.width for r in kinds if r.exact == exact}) for exact in (False, True)]
+    items = materialize(map_arrow(items, of_items, "w long, item_id long, place int, slots array<long>, width int, form int, said long", rows=500), "windows")
+    used = {form: set() for form in range(4)}  # widths in use by form
+    for r in items.select("width", "form").distinct().collect():
+        used[r.form].add(r.width)
     spread = spark.sparkContext.broadcast((filter_of(items.select("w")), used))
 
     def of_docs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, (widths, exact) = spread.value
-        made = [_windows(batch.column("text"), widths, False)] + ([_exact_windows(batch.column("text"), exact, False)] if exact else [])
-        return _joined([_batch(batch.column("doc_id").cast(pa.int64()), "doc_id", found, np.flatnonzero(in_filter(bits, found[0]))) for found in made])
-
-    seen = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), of_docs, f"w long, doc_id long, {shape}", rows=500)
-    seen = seen.withColumnRenamed("slots", "doc_slots").withColumnRenamed("place", "doc_place").drop("width", "form")
-    many = items.count()
-    if many <= BROADCAST_ROWS:
+        bits, widths = spread.value
+        text, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
+        # windows of few words only where an item asks for them
+        made = [_windows(text, sorted(widths[_ALONE] | widths[_SLOTTED]), False, least_words=0 if widths[_SLOTTED] else 0.5)]
+        if widths[_STANDING]:
+            made.append(_exact_windows(text, sorted(widths[_STANDING]), False))
+        if widths[_ENTIRE]:
+            made += _entire(text)
+        return _joined([_batch(ids, "doc_id", found, np.flatnonzero(in_filter(bits, found[0]))) for found in made])
+
+    seen = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), of_docs, "w long, doc_id long, place int, slots array<long>", rows=500)
+    seen = seen.withColumnsRenamed({"slots": "doc_slots", "place": "doc_place"})
+    if items.count() <= BROADCAST_ROWS:
         hits = seen.join(F.broadcast(items), "w")
     else:  # a window that very many documents share is spread over SALTS tasks
         salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_place"), F.lit(SALTS)).cast("int")).join(salted, ["w", "salt"])
-    found = materialize(hits.select("doc_id", "item_id", "place", "width", "doc_place", "slots", "doc_slots", "form"), "hits")
-    # an item with a single window or none is also found as it stands: all its exact windows along one line
-    needed = items.where("form <> 0").groupBy("item_id", "form").agg(F.countDistinct("place").alias("windows"))
-    line = (F.col("doc_place") - F.col("place")).alias("line")
-    whole = found.where("form <> 0").groupBy("doc_id", "item_id", "form", line).agg(F.countDistinct("place").alias("matched")).join(needed, ["item_id", "form"])
-    exact = whole.where("matched = windows").groupBy("doc_id", "item_id").agg(F.max("windows").alias("exact"))
-    hits = found.where("form = 0")
-    total = items.where("form = 0").groupBy("item_id").agg(F.countDistinct("place").alias("windows"), F.max("width").alias("width"))
-    matched = hits.groupBy("doc_id", "item_id", "place").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    enough = (F.col("matched") >= COVERAGE * F.col("windows")) | (F.col("matched") + F.col("width") - 1 >= RUN)
-    covered = matched.join(total, "item_id").where(enough)
+    pair, line = ["doc_id", "item_id", "said", "form"], (F.col("doc_place") - F.col("place")).alias("line")
+    found = materialize(hits.select(*pair, line, "place", "width", "slots", "doc_slots"), "hits")
+    needed = items.groupBy("item_id", "said", "form").agg(F.countDistinct("place").alias("windows"), F.max("width").alias("width"))
     values = (
-        hits.where("slots is not null and doc_slots is not null")
-        .select("doc_id", "item_id", (F.col("doc_place") - F.col("place")).alias("line"), F.explode(F.arrays_zip("slots", "doc_slots")).alias("z"))
+        found.where("slots is not null and doc_slots is not null")
+        .select(*pair, "line", F.explode(F.arrays_zip("slots", "doc_slots")).alias("z"))
         .where("z.slots <> 0")
-        .groupBy("doc_id", "item_id", "line", F.col("z.slots").alias("own"))
+        .groupBy(*pair, "line", F.col("z.slots").alias("own"))
         .agg(F.min("z.doc_slots").alias("least"), F.max("z.doc_slots").alias("most"))
-        .groupBy("doc_id", "item_id", "line")
+        .groupBy(*pair, "line")
         .agg(F.count(F.lit(1)).alias("slots"), F.sum((F.col("least") != F.col("most")).cast("long")).alias("torn"), F.sum((F.col("least") != F.col("own")).cast("long")).alias("changed"))
-        .groupBy("doc_id", "item_id")
-        # the best alignment speaks for the pair
-        .agg(F.min(F.struct(F.col("torn") / F.col("slots"), -F.col("slots"), "changed", "torn")).alias("best"))
-        .select("doc_id", "item_id", (-F.col("best.col2")).alias("slots"), "best.changed", "best.torn")
-    )
-    out = covered.join(values, ["doc_id", "item_id"], "left").where("slots is null or torn * 4 <= slots")
-    out = out.join(exact, ["doc_id", "item_id"], "full").withColumns({c: F.coalesce(c, "exact") for c in ("matched", "windows")})
-    result = materialize(
-        out.select(
-            "doc_id", "item_id", "matched", "windows", F.round(F.col("matched") / F.col("windows"), 6).alias("coverage"),
-            F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("changed", F.lit(0)).alias("changed"),
-        ),
-        "leaks",
-    )
+    )
+    lines = found.groupBy(*pair, "line").agg(F.sort_array(F.collect_set("place")).alias("places"))  # an item's windows at most
+    lines = lines.join(values, [*pair, "line"], "left").where("slots is null or torn * 4 <= slots")
+    lines = lines.fillna(0, ["slots", "changed"]).withColumn("run", _longest_run(F.col("places")))
+    covered = lines.select(*pair, F.explode("places").alias("place")).distinct().groupBy(*pair).agg(F.count(F.lit(1)).alias("matched"))
+    best = lines.groupBy(*pair).agg(F.max("run").alias("run"), F.max(F.size("places")).alias("longest"), F.max(F.struct(F.size("places"), -F.col("changed"), "slots")).alias("main"))
+    told = covered.join(best, pair).join(needed, ["item_id", "said", "form"])
+    enough = (F.col("matched") >= COVERAGE * F.col("windows")) | (F.col("run") + F.col("width") - 1 >= RUN)
+    told = told.where(F.when(F.col("form") == _ALONE, enough).otherwise(F.col("longest") == F.col("windows")))
+    share = F.round(F.col("matched") / F.col("windows"), 6)
+    # the way that covers most speaks for the pair
+    one = told.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("coverage"), "matched", "windows", F.col("main.slots").alias("slots"), (-F.col("main.col2")).alias("changed"))).alias("m"))
+    result = materialize(one.select("doc_id", "item_id", "m.matched", "m.windows", "m.coverage", "m.slots", "m.changed"), "leaks")
     drop_materialized(items)
     drop_materialized(found)
     return result

@@ -119,15 +119,121 @@ def test_leaks(spark):
     assert leaks(spark, docs[:0], items) == {} and leaks(spark, docs, items[:0]) == {}
 
 
-def test_short_and_slot_heavy_items_as_they_stand(spark):
+def test_short_and_slot_heavy_items(spark):
     heavy = "Convert 5 km, 3 miles and 12 feet"
-    items = [(1, heavy), (2, "Solve 3x + 5 = 20"), (3, "Name the longest river there"), (4, "Give 1 m, 2 m, 3 m, 4 m, 5 m, 6 m or 7 m"), (5, "too short")]
+    items = [(1, heavy), (2, "Solve 3x + 5 = 20"), (3, "Name the longest river there"), (4, "Give 1 m, 2 m, 3 m, 4 m, 5 m, 6 m or 7 m"), (5, "too short"), (6, "only four words here"), (7, "Add 5 and 7"), (8, "12"), (9, " ?")]
     docs = [
         (10, f"they said {heavy} again"), (11, "now please solve 3X + 5 = 20, then rest"), (12, "and then Name the longest river there was"), (13, f"x {items[3][1]} y"),
         (14, "now please solve 3x - 5 = 20, then rest"), (15, "Convert 5 km, 3 miles and 13 feet"), (16, "Give 1 m, 2 m, 3 m, 4 m, 5 m, 6 m or 8 m"), (17, "it is too short"), (18, None),
+        (19, "Only four words, here!"), (20, "there are only four words here"), (21, "Too short"), (22, "Add 6 and 9"), (23, "13"), (24, "12."), (25, "?"), (26, "Convert 5 km, 3 miles or 12 feet"),
     ]
     found = leaks(spark, docs, items)
-    assert set(found) == {(10, 1), (11, 2), (12, 3), (13, 4)} and all(r.coverage == 1 for r in found.values())
+    assert set(found) == {(10, 1), (11, 2), (12, 3), (13, 4), (15, 1), (16, 4), (19, 6), (21, 5), (22, 7), (24, 8)} and all(r.coverage == 1 for r in found.values())
+    assert found[15, 1].changed == 1 and found[10, 1].changed == 0
+
+
+def test_a_run_lies_on_one_line(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    item = [word() for _ in range(300)]
+    noise = lambda n: [word() for _ in range(n)]
+    apart = [w for k in range(6) for w in (*item[k * 40 : k * 40 + 8], *noise(5))]
+    docs = [(1, " ".join(apart)), (2, " ".join([*noise(9), *item[70:83], *noise(9)])), (3, " ".join([*noise(9), *item[70:82], *noise(9)]))]
+    assert set(leaks(spark, docs, [(1, " ".join(item))])) == {(2, 1)}
+
+
+def test_a_stray_line_excuses_no_other(spark):
+    """Slots torn along the passage itself count, whatever else the document holds."""
+    item = "Give 5 apples then take 5 apples and add 5 apples to make 5 heaps of 5 apples"
+    torn = "Give 5 apples then take 6 apples and add 7 apples to make 8 heaps of 9 apples"
+    stray = "so they go and add 5 apples to make 5 heaps at last"
+    assert leaks(spark, [(1, f"{stray}. {torn}. {stray}")], [(1, item)]) == {}
+
+
+def plain_template(text, inside):
+    """Tokens (what, value of a slot) by the description, one word at a time."""
+    out, before = [], None
+    for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text):
+        w = m[0]
+        between = text[before.end() : m.start()] if before else ""
+        opening = (not inside) if before is None else any(c not in " \t,-'/()" for c in between)
+        kind = None
+        if w[0].isascii() and w[0].isdigit():
+            kind = "number"
+        elif before is not None and before[0][0] in "0123456789" and w.lower() in decontaminate.UNITS:
+            kind = "unit"
+        elif "A" <= w[0] <= "Z" and len(w) > 1 and ("a" <= w[1] <= "z" or w[1] >= "\x80") and not opening:
+            kind = "name"
+        if kind and out and out[-1][0] == (kind,):
+            out[-1] = ((kind,), (*out[-1][1], w.lower()))
+        else:
+            out.append(((kind,), (w.lower(),)) if kind else (w.lower(), None))
+        before = m
+    return [(t, tuple(sorted(v)) if v else None) for t, v in out]
+
+
+def plain_leaks(docs, items):
+    """Pairs found, with long items only: windows, lines, consistent slots, coverage or a run."""
+    found = set()
+    for d, text in docs:
+        doc = plain_template(text, False)
+        for i, said in items:
+            places, lines = set(), {}
+            for variant in (plain_template(said, False), plain_template(said, True)):
+                for p in range(len(variant) - 7):
+                    window = variant[p : p + 8]
+                    if sum(v is None for _, v in window) < 4:
+                        continue
+                    places.add(p)
+                    for q in range(len(doc) - 7):
+                        if [t for t, _ in doc[q : q + 8]] == [t for t, _ in window]:
+                            held = lines.setdefault(q - p, (set(), {}))
+                            held[0].add(p)
+                            for (_, a), (_, b) in zip(window, doc[q : q + 8], strict=True):
+                                if a:
+                                    held[1].setdefault(a, set()).add(b)
+            good = [p for p, v in lines.values() if not v or 4 * sum(len(b) > 1 for b in v.values()) <= len(v)]
+            run = max((max(b - a + 1 for a in p for b in p if set(range(a, b + 1)) <= p) for p in good), default=0)
+            if places and (len(set().union(*good)) >= len(places) / 2 if good else False) or run >= 6:
+                found.add((d, i))
+    return found
+
+
+def test_leaks_against_plain_python(spark):
+    rng = random.Random(12)
+    vocabulary = "the train runs over hills and plains while every farmer counts brown cows near old mills or takes bread to town".split()
+    extra = ["12", "7", "3 km", "40 kg", "Berlin", "Paris", "Éva", "x2"]
+
+    def passage(n):
+        return [rng.choice(extra) if rng.random() < 0.2 else rng.choice(vocabulary) + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
+
+    def changed(words):
+        swap = {w: rng.choice(extra) if rng.random() < 0.5 else w for w in extra}
+        out = [swap.get(w, w) for w in words]
+        if rng.random() < 0.4:
+            out[rng.randrange(len(out))] = rng.choice(vocabulary)
+        return out
+
+    items = [passage(rng.randrange(24, 50)) for _ in range(15)]
+    docs = []
+    for k in range(150):
+        words = passage(rng.randrange(5, 80))
+        for _ in range(rng.randrange(0, 3)):
+            own = rng.choice(items)
+            a, z = sorted((rng.randrange(len(own)), rng.randrange(len(own) + 1)))
+            words[rng.randrange(len(words)) : 0] = changed(own if rng.random() < 0.5 else own[a:z] or own)
+        docs.append((k, " ".join(words)))
+    listed = [(k, " ".join(w)) for k, w in enumerate(items)]
+    expected = plain_leaks(docs, listed)
+    assert len(expected) > 40 and set(leaks(spark, docs, listed)) == expected
+
+
+def test_repeated_ids_are_texts_of_their_own(spark):
+    rng = random.Random(13)
+    one, two = (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(30)) for _ in range(2))
+    half = " ".join(one.split()[:14])
+    found = leaks(spark, [(1, one), (2, two), (3, f"{half} {two}")], [(7, one), (7, two)])
+    assert set(found) == {(1, 7), (2, 7), (3, 7)} and all(r.coverage == 1 and r.windows == 23 for r in found.values())
 
 
 def test_first_word_inside_a_sentence(spark):
