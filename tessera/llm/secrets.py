@@ -3,14 +3,19 @@
 The patterns give the base spans.  Any other token of TOKEN characters gets an inferred
 encoding (the smallest alphabet that holds it) and three tests against uniform draws
 from it: chi-squared of the symbol counts, runs about the middle of the alphabet and
-serial correlation, combined by Fisher's method.  A token that passes as random gets
-its likelihood as uniform draws from the encoding against ordinary text of the corpus in
-the same alphabet, as a bound on the probability that an ordinary token looks as much
-like them; these are controlled for false discoveries over the whole corpus, apart for
-each class of lengths, since long tokens say more than short ones.
+serial correlation, combined by Fisher's method.  That a token passes says that it may be
+random, not that ordinary text couldn't pass as well.  So a token that passes is tested the other
+way round too: for each of the three properties (how often symbols occur, runs of one
+character class, which symbol follows which) its likelihood as uniform draws is held
+against that of ordinary text of the corpus in the same alphabet.  Together they bound the
+probability that an ordinary token looks as random; that is controlled for false
+discoveries over the whole corpus, apart for each class of lengths, since long tokens say
+more than short ones.
 
 Cases: null text is empty and has no span; documents without candidates keep their row;
-repeated rows each get a row; extra columns are ignored; positions are code points.
+repeated rows each get a row, and each counts in the control of discoveries; candidates of
+equal likelihood stand or fall together; very long texts are scanned once, in linear time;
+extra columns are ignored; positions are code points; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +43,11 @@ _COMPILED = [(kind, re.compile(p, flags | re.ASCII), group, least) for kind, p,
 #: The same matches where short ones can't hold a match that counts: a run either is long enough or fails as a whole.
 _RUNS = {"hex": re.compile(r"[0-9a-f]{16,}")}
 
-#: Least characters of a token that is tested.
-TOKEN = 20
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Least characters of a token that is tested: at 12 a fifth of uniform tokens can't be told from ordinary text, at 16 a twentieth.
+TOKEN = 16
+#: Characters from which a token isn't counted as ordinary text; shorter ones are words too often.
+LEFT_OUT = 20
+_TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{TOKEN},}}={{0,2}}")
 #: Alphabets by size: the first that holds a token is its encoding.
 ALPHABETS = (
     ("decimal", "0123456789"),
@@ -69,7 +76,7 @@ _HELD[[ord(c) for c in ALPHABETS[-1][1]]] = True
 _LETTER = np.full(256, 26, np.uint8)
 _LETTER[65:91] = _LETTER[97:123] = np.arange(26)
 #: Starts of the length classes, and steps of log10 p per unit in the counts of probabilities.
-LENGTHS, STEPS, DEEPEST = (20, 28, 40, 64), 20, 30
+LENGTHS, STEPS, DEEPEST = (TOKEN, 20, 28, 40, 64), 20, 30
 
 
 def _normal_tail(z: float) -> float:
@@ -126,13 +133,13 @@ def _class(c: str) -> int:
 
 
 def letter_pairs(docs: DataFrame) -> np.ndarray:
-    """How often each letter (folded; 26 stands for none) follows each, over all texts, tested tokens left out."""
+    """How often each letter (folded; 26 stands for none) follows each, over all texts, tokens of LEFT_OUT characters left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = buffer_of(batch.column("text"))
         codes = _LETTER[raw]
         starts, ends, _ = word_spans(raw, offsets, _HELD)
-        for k in np.flatnonzero(ends - starts >= TOKEN).tolist():
+        for k in np.flatnonzero(ends - starts >= LEFT_OUT).tolist():
             codes[starts[k] : ends[k]] = 26
         before = np.concatenate([[26], codes[:-1]]).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
         before[offsets[:-1][offsets[:-1] < len(codes)]] = 26
@@ -150,8 +157,8 @@ class Evidence:
     """Likelihood of a token as uniform draws from its encoding, against ordinary text in the same alphabet.
 
     Ordinary text changes its character class at a rate of CHANGE, a capital before a
-    small letter and the borders of joined parts being no change, and its letters follow
-    each other as in the corpus.  Digits and joining characters tell nothing.  For
+    small letter and the borders of joined parts being no change, and its letters occur and
+    follow each other as in the corpus.  Digits and joining characters tell nothing.  For
     ordinary tokens of a length the ratio is 1 on average, so by Markov's inequality its
     inverse bounds their tail probability; the choice of encoding counts as so many tests.
     """
@@ -160,10 +167,12 @@ class Evidence:
         usual = np.array(USUAL) / sum(USUAL)
         single = (pairs[:, :26].sum(axis=0) + 1000 * usual) / (pairs[:, :26].sum() + 1000)
         follow = (pairs[:, :26] + 50 * single) / (pairs[:, :26].sum(axis=1, keepdims=True) + 50)
+        self.single = (1 - UNSEEN) * single + UNSEEN / 26
         self.letters = (1 - UNSEEN) * follow + UNSEEN / 26
-        self.tables: dict[str, dict[str, dict[str, float]]] = {}
+        self.tables: dict[str, dict[str, dict[str, tuple[float, float, float]]]] = {}
 
-    def _table(self, alphabet: str) -> dict[str, dict[str, float]]:
+    def _table(self, alphabet: str) -> dict[str, dict[str, tuple[float, float, float]]]:
+        """Log ratios of each symbol behind each other: of its frequency, of the class's run, of the order."""
         kinds = [_class(c) for c in alphabet]
         own = np.bincount(kinds, minlength=4) / len(alphabet)
         letters = {k: [ord(c.lower()) - 97 for c, x in zip(alphabet, kinds, strict=True) if x == k] for k in (0, 1)}
@@ -178,19 +187,25 @@ class Evidence:
             follow = self.letters[ord(x.lower()) - 97 if kind < 2 else 26]
             row = {}
             for c, k in zip(alphabet, kinds, strict=True):
-                share = follow[ord(c.lower()) - 97] / follow[letters[k]].sum() if k < 2 else 1 / (own[k] * len(alphabet))
-                row[c] = -math.log(len(alphabet) * move[k] * share)
+                even = 1 / (own[k] * len(alphabet))
+                alone = behind = even
+                if k < 2:
+                    at = ord(c.lower()) - 97
+                    alone, behind = self.single[at] / self.single[letters[k]].sum(), follow[at] / follow[letters[k]].sum()
+                row[c] = (-math.log(alone / even), -math.log(move[k] / own[k]), -math.log(behind / alone))
             out[x] = row
         return out
 
-    def depth(self, encoding: str, body: str) -> float:
-        """-log10 of the probability that ordinary text looks as much like uniform draws."""
-        alphabet = dict(ALPHABETS)[encoding]
+    def tests(self, encoding: str, body: str) -> tuple[float, float, float]:
+        """Natural log ratios of uniformity, runs and serial order."""
         table = self.tables.get(encoding)
         if table is None:
-            table = self.tables[encoding] = self._table(alphabet)
-        ratio = sum(table[x][c] for x, c in zip(body, body[1:], strict=False))
-        return min(DEEPEST, max(0.0, ratio / math.log(10) - math.log10(len(ALPHABETS))))
+            table = self.tables[encoding] = self._table(dict(ALPHABETS)[encoding])
+        return tuple(map(sum, zip(*(table[x][c] for x, c in zip(body, body[1:], strict=False)), strict=True)))
+
+    def depth(self, encoding: str, body: str) -> float:
+        """-log10 of the probability that ordinary text looks as much like uniform draws, by all three."""
+        return min(DEEPEST, max(0.0, sum(self.tests(encoding, body)) / math.log(10) - math.log10(len(ALPHABETS))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -203,14 +218,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans in order of their starts as disjoint stretches."""
+    out: list[tuple[int, int]] = []
+    for a, z, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, str]], evidence: Evidence) -> list[dict]:
     """Tokens outside the base spans, with -log10 of their ordinary probability where they pass as random."""
-    out, at = [], 0
+    out, at, taken = [], 0, _merged(base)
     for m in _TOKEN.finditer(text):
         a, z = m.span()
-        while at < len(base) and base[at][1] <= a:
+        while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if any(s < z and e > a for s, e, _ in base[at : at + 8]) or any(s < z and e > a for s, e, _ in base):
+        if at < len(taken) and taken[at][0] < z:
             continue
         encoding, q = battery(m.group())
         depth = evidence.depth(encoding, m.group().rstrip("=")) if q >= RANDOM else 0.0
@@ -252,10 +278,13 @@ def _thresholds(found: DataFrame) -> list[float]:
 def _scanned(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
     """doc_id, base spans, tested candidates and the base spans' digest of each document, materialized."""
     span = "array<struct<start:long,end:long,kind:string>>"
+    own: list[Evidence] = []  # one for each Python worker
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         base, more, digest = [], [], []
-        evidence = Evidence(pairs)
+        if not own:
+            own.append(Evidence(pairs))
+        evidence = own[0]
         for text in texts_of(batch):
             spans = base_spans(text)
             base.append([{"start": a, "end": z, "kind": k} for a, z, k in spans])
@@ -285,7 +314,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s.kind)
     keyed = F.transform(F.concat("base", random), lambda s: F.struct(s.start.alias("start"), rank(s).alias("r"), s.end.alias("end"), s.kind.alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
-    return found.select("doc_id", "base", ordered.alias("found"), "base_sha256")
+    result = materialize(found.select("doc_id", "base", ordered.alias("found"), "base_sha256"), "secrets")
+    drop_materialized(found)
+    return result
 
 
 def covered(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -308,10 +339,13 @@ def redact(docs: DataFrame) -> DataFrame:
     scanned = _scanned(docs, pairs)
     limits = _thresholds(scanned)
     drop_materialized(scanned)
+    own: list[Evidence] = []  # one for each Python worker
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        evidence = Evidence(pairs)
+        if not own:
+            own.append(Evidence(pairs))
+        evidence = own[0]
         for k, text in enumerate(texts):
             if text:
                 spans = base_spans(text)

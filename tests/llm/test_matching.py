@@ -69,6 +69,61 @@ def test_random_tokens_of_each_encoding(spark, alphabet):
     assert sum(hit[k] for k in range(20)) >= 18 and not any(hit[k] for k in range(20, 100))
 
 
+def plain_thresholds(depths):
+    """Benjamini and Hochberg by class of lengths, over steps of depth, in plain Python: the least depth found."""
+    out = {}
+    for k in {k for k, _ in depths}:
+        steps = [int(d * secrets.STEPS) for c, d in depths if c == k]
+        good = [s for s in set(steps) if s > 0 and 10 ** (-s / secrets.STEPS) <= secrets.RATE * sum(x >= s for x in steps) / len(steps)]
+        out[k] = min(good, default=10**9) / secrets.STEPS
+    return out
+
+
+def test_random_spans_against_plain_python(spark):
+    """The whole operator but the scores of a token: which tokens are tested, classed and found."""
+    rng = random.Random(21)
+    symbols = dict(secrets.ALPHABETS)
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice("etaoinsrhld") for _ in range(rng.randrange(2, 9))) for _ in range(30)]
+        if k % 3 == 0:
+            words.insert(rng.randrange(30), "".join(rng.choice(symbols[rng.choice(["lower", "base32", "base62", "base64"])]) for _ in range(rng.choice([12, 16, 19, 20, 30, 50, 70]))))
+        if k % 5 == 0:
+            words.insert(rng.randrange(30), "".join(rng.choices(words, k=5)))
+        if k % 7 == 0:
+            words.insert(rng.randrange(30), "secret=" + "".join(rng.choice(symbols["base62"]) for _ in range(24)))
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame([*rows, rows[0], rows[3], (None, None)], "doc_id long, text string").repartition(3)
+    evidence = secrets.Evidence(secrets.letter_pairs(df))
+    tested = []
+    for k, text in [*rows, rows[0], rows[3]]:
+        base = plain_base(text)
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}={0,2}", text):
+            if not any(a < m.end() and z > m.start() for a, z, _ in base):
+                encoding, q = secrets.battery(m[0])
+                depth = evidence.depth(encoding, m[0].rstrip("=")) if q >= secrets.RANDOM else 0.0
+                tested.append((k, m.span(), sum(len(m[0]) >= x for x in secrets.LENGTHS) - 1, depth))
+    limits = plain_thresholds([(c, d) for _, _, c, d in tested])
+    expected = sorted({(k, *span) for k, span, c, d in tested if d >= limits[c]})
+    got = sorted({(r.doc_id, s.start, s.end) for r in secrets.find_secrets(df).collect() for s in r.found if s.kind == "random"})
+    assert len(expected) > 50 and got == expected
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    rng = random.Random(22)
+    part = " ".join("token=" + "".join(rng.choice("abcdefgh0123") for _ in range(14)) + " " + "x" * 17 for _ in range(2000))
+    evidence = secrets.Evidence(np.ones((27, 27)))
+    seconds = []
+    for n in (1, 8):
+        text = " ".join([part] * n)
+        began = time.process_time()
+        assert len(secrets.candidates(text, secrets.base_spans(text), evidence)) == 2000 * n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * max(seconds[0], 0.02)
+
+
 def test_letter_pairs(spark):
     df = spark.createDataFrame([("abA",), (None,), ("",), ("b " + "q" * 20 + " é1a",)], "text string").coalesce(1)
     got = secrets.letter_pairs(df)
