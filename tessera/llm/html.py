@@ -9,9 +9,11 @@ writes in many layouts, with menus, notices, adverts, forms, sidebars and commen
 no page of the tables is used to train.
 
 Cases: null, empty or text-less html gives the empty text; unclosed and crossing tags
-are closed as browsers do for paragraphs and list items; references without semicolon
-are decoded; nothing is dropped or capped for length; repeated rows each get a row;
-extra columns are ignored.
+are closed as browsers do for heads, paragraphs and list items; a solidus before `>` closes
+only foreign elements; references without semicolon are decoded; blocks know their
+ancestors by shared nodes, so that deep nesting takes linear memory; nothing is dropped or
+capped for length; of labellings that score alike the one with the earlier `other` wins;
+repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import html as entities
 import random
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,145 +30,220 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow
 
-#: Elements that don't break a block, elements without an end, elements whose text isn't shown.
+#: Elements that don't break a block, elements without an end, elements of the head, elements whose content is no markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript title textarea svg math iframe object head".split())
-RAW = frozenset("script style textarea title iframe noscript svg math template".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+#: Elements whose content isn't shown and breaks no block; those of the first two close themselves by a solidus.
+FOREIGN = frozenset("svg math template object".split())
 #: An opening tag of the first closes an open one of the second, up to the nearest of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_PARAGRAPH = ({"p"}, {"div", "article", "section", "td", "body"})
 
+#: A comment, a declaration, or a tag: its solidus, name and attributes; quotes count where a value begins.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]++|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)(?:>|\Z)", re.DOTALL
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)""", re.DOTALL
 )
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDING = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAMING = frozenset("class id role itemprop aria-label".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _PART = re.compile(r"[a-zA-Z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 _WORD = re.compile(r"\w+")
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
+class Node:
+    """An open element: its tag, class words and parent.
+
+    fresh: a block element whose tag none above has; own: the nearest block element's tag;
+    sided, main: whether it or one above is of an aside's or of an article's kind.
+    """
+
+    tag: str
+    words: tuple[str, ...]
+    parent: Node | None
+    hidden: bool
+    fresh: bool
+    own: str
+    sided: bool
+    main: bool
+
+
+@dataclass(slots=True)
 class Block:
-    """A leaf block: its text, its ancestors (tag, class words), the share of its characters in links."""
+    """A leaf block: its text, the element that holds it, the share of its characters in links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     linked: float
 
 
-def _words_of(attributes: str) -> tuple[str, ...]:
-    if "=" not in attributes:
-        return ()
-    return tuple({w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or "")})
+def _read(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """Words of the naming attributes, and whether the element is hidden."""
+    words, hidden = set(), False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in _NAMING:
+            words.update(w.lower() for w in _PART.findall(value))
+            hidden = hidden or (name == "class" and "hidden" in value.split())
+        elif name == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif name == "style":
+            hidden = hidden or _UNSEEN.search(value) is not None
+        elif name == "aria-hidden":
+            hidden = hidden or value.lower() == "true"
+    return tuple(sorted(words)), hidden
+
+
+class _Scan:
+    """The stack of open elements while a page is read, and the blocks so far."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.stack: list[Node] = []
+        self.open: dict[str, int] = {}
+        self.hidden = 0
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def close(self) -> None:
+        """The block ends here."""
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.blocks.append(Block(text, self.stack[-1] if self.stack else None, min(1.0, self.linked / max(1, len(text)))))
+            self.parts, self.linked = [], 0
+
+    def says(self, text: str) -> None:
+        if self.stack and self.stack[-1].tag == "head" and not text.isspace():
+            self.pop(len(self.stack) - 1)
+        if not self.hidden:
+            said = entities.unescape(text) if "&" in text else text
+            self.parts.append(said)
+            if self.open.get("a"):
+                self.linked += len(said)
+
+    def push(self, tag: str, words: tuple[str, ...], hidden: bool) -> None:
+        above, block = self.stack[-1] if self.stack else None, tag not in INLINE
+        self.stack.append(Node(
+            tag, words, above, hidden, block and tag not in ("html", "body") and not self.open.get(tag), tag if block else above.own if above else "",
+            (above.sided if above else False) or tag in ("nav", "footer", "aside", "form", "header"), (above.main if above else False) or tag in ("article", "main"),
+        ))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.hidden += hidden
+
+    def pop(self, to: int) -> None:
+        """Close elements from the top down to place `to`."""
+        if not self.hidden and any(n.tag not in INLINE for n in self.stack[to:]):
+            self.close()
+        while len(self.stack) > to:
+            node = self.stack.pop()
+            self.open[node.tag] -= 1
+            self.hidden -= node.hidden
+
+    def close_open(self, closing: set[str], border: set[str]) -> None:
+        """Close open elements of some tags up to the nearest border."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if not any(self.open.get(t) for t in closing):
+                return
+            if self.stack[k].tag in closing:
+                self.pop(k)
+            elif self.stack[k].tag in border:
+                return
+
+    def ends(self, tag: str) -> None:
+        if tag == "p" and not self.open.get("p") and not self.hidden:
+            self.close()
+        if not self.open.get(tag):
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].tag == tag:
+                self.pop(k)
+                return
+            if tag in INLINE and self.stack[k].tag not in INLINE:  # an inline end tag doesn't close the blocks around
+                return
+
+    def begins(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            self.says("\n")
+            return
+        if self.stack and self.stack[-1].tag == "head" and tag not in HEAD:
+            self.pop(len(self.stack) - 1)
+        if tag in FOREIGN or self.hidden:
+            if tag not in VOID and not _SELF_CLOSED.search(attributes):
+                self.push(tag, (), tag in FOREIGN)
+            return
+        if tag not in INLINE:
+            self.close()
+            self.close_open(*CLOSES.get(tag, _PARAGRAPH))
+            if tag != "p" and self.open.get("p"):
+                self.pop(max(i for i, n in enumerate(self.stack) if n.tag == "p"))
+        if tag not in VOID:
+            words, hidden = _read(attributes) if attributes else ((), False)
+            self.push(tag, words, hidden or tag == "head")
 
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, class words, hidden
-    parts: list[str] = []
-    linked = 0
-    shown, in_link = True, 0
-
-    def close() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                out.append(Block(text, tuple((t, c) for t, c, _ in stack), min(1.0, linked / max(1, len(text)))))
-            parts, linked = [], 0
-
-    def pop(to: int) -> None:
-        nonlocal shown
-        if any(t not in INLINE for t, _, _ in stack[to:]):
-            close()
-        del stack[to:]
-        shown = not any(h for _, _, h in stack)
-
-    at = 0
+    scan, at = _Scan(), 0
     while at < len(page):
         m = _TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and shown:
-            parts.append(text)
-            if in_link:
-                linked += len(text)
+        if at < (m.start() if m else len(page)):
+            scan.says(page[at : m.start() if m else len(page)])
         if not m:
             break
         at = m.end()
-        ending, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if not m[2]:
             continue
-        tag = tag.lower()
-        if ending:
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
-                close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    # an inline end tag doesn't close the blocks around
-                    if tag not in INLINE or all(t in INLINE for t, _, _ in stack[k:]):
-                        pop(k)
-                    break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s>/])[^>]*>", re.IGNORECASE).search(page, at) if not attributes.endswith("/") else None
-            if tag not in INLINE:
-                close()
-            if not attributes.endswith("/"):
-                at = end.end() if end else len(page)
-            continue
-        if tag == "br":
-            parts.append("\n")
-            continue
-        if tag not in INLINE:
-            close()
-            if tag in CLOSES:
-                closing, border = CLOSES[tag]
-            else:
-                closing, border = {"p"}, {"div", "article", "section", "td", "body"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing:
-                    pop(k)
-                elif stack[k][0] in border:
-                    break
-            if tag != "p" and stack and any(t == "p" for t, _, _ in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                pop(k)
-        if tag in VOID or attributes.endswith("/"):
-            continue
-        if tag == "a":
-            in_link += 1
-        hidden = tag in HIDDEN or (("idd" in attributes or "none" in attributes or "true" in attributes) and _HIDING.search(attributes) is not None)
-        stack.append((tag, _words_of(attributes), hidden))
-        shown = shown and not hidden
-    close()
-    return out
+        tag = m[2].lower()
+        if m[1]:
+            scan.ends(tag)
+        elif tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else len(page)
+        else:
+            scan.begins(tag, m[3])
+    if not scan.hidden or scan.parts:
+        scan.close()
+    return scan.blocks
+
+
+def _node_features(node: Node) -> list[str]:
+    """What an ancestor adds to the features of the blocks below it."""
+    return ([f"in={node.tag}"] if node.fresh else []) + [f"class={w[:6]}" for w in node.words]
+
+
+def _own_features(blocks: list[Block], k: int) -> list[str]:
+    """Features of a block's text and place, and of all its ancestors at once."""
+    b, n = blocks[k], blocks[k].node
+    # the class of 32 words and more is the last
+    words = sum(1 for _ in islice(_WORD.finditer(b.text), 32))
+    f = ["bias", f"own={n.own if n else ''}", f"words={min(6, words.bit_length())}", f"linked={int(b.linked * 3.99)}"]
+    if n and n.sided and n.main:
+        f.append("aside in article")
+    if b.text[-1:] in ".!?…»”\"":
+        f.append("sentence")
+    if "©" in b.text or "·" in b.text or "|" in b.text:
+        f.append("mark")
+    if not any(map(str.isalpha, b.text)):
+        f.append("no letter")
+    if k == 0:
+        f.append("first")
+    if k == len(blocks) - 1:
+        f.append("last")
+    return f
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that each block has."""
     out = []
     for k, b in enumerate(blocks):
-        tags = {t for t, _ in b.path if t not in INLINE and t not in ("html", "body")}
-        own = next((t for t, _ in reversed(b.path) if t not in INLINE), "")
-        f = ["bias", f"own={own}", *(f"in={t}" for t in tags), *(f"class={c[:6]}" for _, cs in b.path for c in cs)]
-        if tags & {"nav", "footer", "aside", "form", "header"} and tags & {"article", "main"}:
-            f.append("aside in article")
-        words = len(_WORD.findall(b.text)) if len(b.text) < 400 else 80
-        f.append(f"words={min(6, words.bit_length())}")
-        f.append(f"linked={int(b.linked * 3.99)}")
-        if b.text[-1:] in ".!?…»”\"":
-            f.append("sentence")
-        if "©" in b.text or "·" in b.text or "|" in b.text:
-            f.append("mark")
-        if not any(c.isalpha() for c in b.text[:200]):
-            f.append("no letter")
-        if k == 0:
-            f.append("first")
-        if k == len(blocks) - 1:
-            f.append("last")
+        f, node = _own_features(blocks, k), b.node
+        while node:
+            f += _node_features(node)
+            node = node.parent
         out.append(f)
     return out
 
@@ -191,9 +269,27 @@ class Chain:
 
     def decode(self, names: list[list[str]]) -> list[int]:
         """The best labelling, by Viterbi."""
-        if not names:
+        return self._best(self.scores(names).tolist())
+
+    def label(self, blocks: list[Block]) -> list[int]:
+        """decode(features(blocks)); each ancestor is scored once, upon its parent's score."""
+        get, zero = self.weights.get, (0.0, 0.0)
+        total = lambda names, a=0.0, b=0.0: (a + sum(get(n, zero)[0] for n in names), b + sum(get(n, zero)[1] for n in names))
+        held: dict[int, tuple[float, float]] = {id(None): zero}
+        scored = []
+        for k, block in enumerate(blocks):
+            above, node = [], block.node
+            while id(node) not in held:
+                above.append(node)
+                node = node.parent
+            for node in reversed(above):
+                held[id(node)] = total(_node_features(node), *held[id(node.parent)])
+            scored.append(total(_own_features(blocks, k), *held[id(block.node)]))
+        return self._best(scored)
+
+    def _best(self, s: list) -> list[int]:
+        if not s:
             return []
-        s = self.scores(names).tolist()
         (oo, oc), (co, cc) = self.turns.tolist()
         o, c = s[0]
         back = []
@@ -275,7 +371,7 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[str, list[tup
         def links(n: int, label: int = 0) -> str:
             return "<ul>" + "".join("<li>" + put("a", phrase(1, 3), label, ' href="/x"') + "</li>" for _ in range(n)) + "</ul>"  # noqa: B023
 
-        def some(*kinds: str) -> str:
+        def some(*kinds):  # noqa: ANN002, ANN202
             return rng.choice(kinds)
 
         def boxed(kind: str, inner: str) -> str:
@@ -309,30 +405,36 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[str, list[tup
                 return boxed("aside", put("h3", phrase(1, 3), 0) + (links(rng.randint(2, 6)) if rng.random() < 0.6 else put("p", prose(2), 0)))
             return boxed(kind, put(some("p", "div", "span"), prose(2), 0))
 
+        bare = rng.random() < 0.15  # nothing but an article, perhaps of one paragraph
         for kind in ("notice", "header", "nav", "ad", "form"):
-            if rng.random() < 0.5:
+            if not bare and rng.random() < 0.5:
                 body.append(noise(kind))
         container = some("<article>", "<article>", "<main>", '<div class="content">', '<div class="post">', '<div id="main">', '<div class="article-body">', '<main><article>', '<section class="story">')
+        wrapped = some(0, 0, 1, 2)
+        body += [f'<div{some("", f""" class="{some("wrapper", "container", "page", "row", "col", "site", "inner")}" """)}>' for _ in range(wrapped)]
         body.append(container)
-        if rng.random() < 0.8:
+        paragraph = some("p", "p", "p", "div")  # some pages set their paragraphs in plain divisions
+        joint = some(*[" "] * 7, " | ", " · ", " © ")  # and some texts are full of signs
+        wanted = lambda most: joint.join(prose(most).split(" "))  # noqa: B023, E731
+        if rng.random() < (0.3 if bare else 0.8):
             body.append(put(some("h1", "h1", "h2"), phrase(2, 10), 1))
-        for _ in range(rng.randint(1, 12)):
+        for _ in range(rng.randint(1, 3 if bare else 12)):
             r = rng.random()
             if r < 0.72:
-                body.append(put("p", prose(6), 1, shut=rng.random() < 0.8))
+                body.append(put(paragraph, wanted(6), 1, shut=paragraph == "div" or rng.random() < 0.8))
             elif r < 0.8:
                 body.append(put(some("h2", "h3"), phrase(1, 6), 1))
             elif r < 0.86:
-                body.append("<ul>" + "".join(put("li", prose(1), 1) for _ in range(rng.randint(1, 4))) + "</ul>")
+                body.append("<ul>" + "".join(put("li", wanted(1), 1) for _ in range(rng.randint(1, 4))) + "</ul>")
             elif r < 0.9:
-                body.append("<blockquote>" + put("p", prose(3), 1) + "</blockquote>")
+                body.append("<blockquote>" + put("p", wanted(3), 1) + "</blockquote>")
             elif r < 0.93:
                 body.append(put("pre", phrase(2, 12), 1))
             else:
                 body.append(noise(some("ad", "share", "notice", "aside", "ad")))
-        body.append("".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", container))))
+        body.append("".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", container))) + "</div>" * wrapped)
         for kind in ("share", "comments", "aside", "ad", "form", "footer"):
-            if rng.random() < 0.5:
+            if not bare and rng.random() < 0.5:
                 body.append(noise(kind))
         pages.append(("<!DOCTYPE html><html><head><title>" + phrase(2, 5) + "</title><style>p{}</style></head><body>" + "".join(body) + some("</body></html>", ""), said))
     return pages
@@ -357,7 +459,7 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
         texts = []
         for page in batch.column("html").to_pylist():
             blocks = blocks_of(page) if page else []
-            labels = found.decode(features(blocks))
+            labels = found.label(blocks)
             texts.append("\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y))
         return pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,97 @@ def test_odd_pages(spark, chain):
     assert found[6].n_chars == 10 * 20_000 - 1
 
 
+def texts_in(page):
+    return [b.text for b in html.blocks_of(page)]
+
+
+def test_tags_as_browsers_read_them():
+    assert texts_in("<html><head><title>t</title><meta charset=x><body><p>One<p>Two") == ["One", "Two"]
+    assert texts_in("<head><title>t</title><p>One</p>") == ["One"] and texts_in("<head> text at once</head>") == ["text at once"]
+    assert texts_in("<p>a</p><script src=/a/>var x = '<p>no</p>'</script><p>b</p>") == ["a", "b"]
+    assert texts_in('<p>a</p><script src="a"/>no</script><p>b</p><style/>p{}</style><div/>c') == ["a", "b", "c"]
+    assert texts_in('<p title="a<b>c">d</p><p data-x=\'<i>\'>e</p><a href=x>y>f</a>') == ["d", "e", "y>f"]
+    assert texts_in("<p>a<!-->b<!--->c<!-- x -- > y --!>d</p><!-- <p>no</p>") == ["abcd"]
+    assert texts_in("<p>x <svg><path d='m'/><title>no</title><p>no</svg>y<svg/> z</p>") == ["x y z"]
+    assert texts_in("<p>a<template><div>no<template>no</template>no</div></template>b</p>") == ["ab"]
+    assert texts_in('<div style="overflow:hidden">seen</div><div style="display: none">no<p>no</div><p hidden>no</p><p aria-hidden=true>no</p><p class="not-hidden">seen too</p>') == ["seen", "seen too"]
+    assert texts_in("a < b and c <3 d</p>e &amp;lt; &copy f&am<b>p;</b>") == ["a < b and c <3 d", "e &lt; © f&amp;".replace("&amp;", "&amp;")]
+    assert texts_in("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == list("abcdefg")
+    assert texts_in('<p title="never closed>a</p><p>b</p>')[-1:] == ["b"]
+
+
+def test_deep_nesting_takes_linear_time_and_memory(chain):
+    import time
+    import tracemalloc
+
+    used = []
+    for n in (2000, 16_000):
+        page = "".join(f'<div class="c{k % 7}"><i>t{k}' for k in range(n)) + "</b></p>" * n
+        tracemalloc.start()
+        began = time.process_time()
+        blocks = html.blocks_of(page)
+        labels = chain.label(blocks)
+        used.append((time.process_time() - began, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+        assert len(blocks) == len(labels) == n
+    assert used[1][0] < 32 * used[0][0] and used[1][1] < 16 * used[0][1]
+
+
+def test_labels_by_shared_ancestors_equal_the_features(chain):
+    for page, _ in html.labelled_pages(20, seed=3):
+        blocks = html.blocks_of(page)
+        assert chain.label(blocks) == chain.decode(html.features(blocks))
+
+
+#: Layouts that the training pages don't have; text between brackets is wanted.
+HELD_OUT = (
+    "<html><head><title>S</title><body bgcolor=white><table width=100%><tr><td colspan=2><font size=6>S</font></table><table><tr><td width=150 class=navcell><a href=a>S</a><br><a href=b>S</a><br><a href=c>S</a><td><div class=story><h2>[S]</h2><p>[P]<p>[P]<p>[P]</div></table><hr><center><font size=1>Copyright S</font></center>",
+    '<body class="post-template"><div id="page"><div id="masthead" class="site-header"><a class="brand" href="/">S</a><ul class="menu"><li><a href=1>S</a><li><a href=2>S</a></ul></div><div id="primary"><div id="post-12" class="hentry entry"><h1 class="entry-title">[S]</h1><div class="entry-content"><p>[P]</p><p>[P]</p><figure><img src=x></figure><h3>[S]</h3><p>[P]</p><ul><li>[T]</li><li>[T]</li></ul></div></div><div id="comments" class="comments-area"><h2>S</h2><ol class="comment-list"><li class="comment"><p>P</p></li><li class="comment"><p>P</p></li></ol><div id="respond"><form><label>S</label><textarea>x</textarea></form></div></div></div><div id="secondary" class="widget-area"><div class="widget"><h4>S</h4><ul><li><a href=x>S</a></li><li><a href=y>S</a></li></ul></div></div><div id="colophon" class="site-footer">S &copy; 2020</div></div>',
+    '<body><header role="banner"><nav aria-label="Main navigation"><a href="#">S</a> | <a href="#">S</a></nav></header><main id="content" role="main"><section><h1>[S]</h1><p>[P]</p><pre><code>[S]</code></pre><p>[P]</p><blockquote>[T]</blockquote><p>[P]</p></section></main><aside role="complementary"><h2>S</h2><ul><li><a href=x>S</a></li></ul></aside><footer role="contentinfo"><p>S</p></footer></body>',
+    '<div class="cookie-banner"><p>P</p><button>S</button></div><div class="topbar"><span>S</span><span>S</span></div><div class="wrapper"><div class="col-left"><div class="article-text"><h1>[S]</h1><div>[P]</div><div>[P]</div><div class="advertisement"><span>T</span></div><div>[P]</div></div></div><div class="col-right sidebar"><h3>S</h3><a href=1>S</a><a href=2>S</a></div></div><div class="footer-links"><a href=1>S</a> &middot; <a href=2>S</a></div>',
+    '<article itemscope itemtype="NewsArticle"><h1 itemprop="headline">[S]</h1><div class="social-share"><a href=1>S</a><a href=2>S</a></div><div itemprop="articleBody"><p>[P]</p><p>[P]</p><div class="related-links"><h4>S</h4><ul><li><a href=1>S</a></li><li><a href=2>S</a></li></ul></div><p>[P]</p></div></article><div class="newsletter-signup"><h3>S</h3><p>T</p><form><input><button>S</button></form></div><section class="reader-comments"><h2>S</h2><div class="comment"><p>P</p></div><div class="comment"><p>P</p></div></section>',
+    '<header><h2>S</h2></header><nav class="breadcrumbs"><ol><li><a href=1>S</a><li><a href=2>S</a></ol></nav><main><article><header><h1>[S]</h1></header><p>[P]</p><p>[P]</p><p>[P]</p><footer class="tags"><a href=1>S</a> <a href=2>S</a></footer></article></main><footer><nav><a href=1>S</a><a href=2>S</a></nav><small>&copy; S</small></footer>',
+)
+
+
+def held_out_page(rng, layout):
+    word = lambda: "".join(rng.choice("bo ra ti mul gre sta ken ow fi du".split()) for _ in range(rng.randint(1, 4)))
+    sentence = lambda a, z: (" ".join(word() for _ in range(rng.randint(a, z)))).capitalize()
+    wanted, out = [], []
+    for piece in re.split(r"(\[[SPT]\]|(?<![A-Za-z])[SPT](?![A-Za-z]))", layout):
+        kind = piece.strip("[]") if re.fullmatch(r"\[?[SPT]\]?", piece) else ""
+        if kind:
+            text = sentence(1, 6) if kind == "S" else sentence(5, 12) + "." if kind == "T" else " ".join(sentence(6, 20) + "." for _ in range(rng.randint(2, 6)))
+            out.append(text)
+            if piece[0] == "[":
+                wanted.append(text)
+        else:
+            out.append(piece)
+    return "".join(out), wanted
+
+
+def held_out_figures(chain, pages=20):
+    """Share of wanted characters found, and of found ones that are wanted, over all held-out layouts."""
+    import random
+
+    rng = random.Random(31)
+    hit = found = asked = 0
+    for layout in HELD_OUT:
+        for _ in range(pages):
+            page, wanted = held_out_page(rng, layout)
+            blocks = html.blocks_of(page)
+            got = [b.text for b, y in zip(blocks, chain.label(blocks), strict=True) if y]
+            hit += sum(len(t) for t in got if t in wanted)
+            found += sum(map(len, got))
+            asked += sum(map(len, wanted))
+    return hit / asked, hit / found
+
+
+def test_held_out_layouts():
+    recall, precision = held_out_figures(html.model())
+    assert recall > 0.95 and precision > 0.95
+
+
 def mixed(rows, target, repeats, budget, exponent):
     """The documents of each source by the same rule, in plain Python: whole blocks and a beginning."""
     tokens = lambda t: -(-len(t.encode()) // 4)
