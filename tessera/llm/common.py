@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that were materialized in this session.
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE[:] = [made for made in _MADE if made.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def leftovers(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Delete the tables that are materialized inside, at the end, except those given to `keep`."""
+    before, kept = set(_MADE), set()
+
+    def keep(df: DataFrame) -> None:
+        kept.update(f.rsplit("/", 2)[1] for f in df.inputFiles())
+
+    yield keep
+    for folder in [made for made in _MADE if made not in before and made.rsplit("/", 1)[1] not in kept]:
+        _delete(spark, folder)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

@@ -66,6 +66,58 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, str(DATA)).count() == held[5].count()
 
 
+def odd_documents(spark):
+    """Rows with nulls, repeated rows and ids, long and empty texts, and columns named as the operators' own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = docs.orderBy("doc_id").first()
+    leak = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    words = " ".join(f"word{k}" for k in range(60))
+    made = [
+        (None, None, None, None, None), (None, "", None, None, None), (None, f"{words} without an id", None, "a", 5), (None, f"{words} without an id", None, "a", 5),
+        (None, f"before it {leak} after it", None, "a", 5), (first.doc_id, "another text of this id, of which no copy is about", "en", "b", 7), (10**9, f"{words.replace('word', 'long')} " * 2000, "en", "b", 7),
+        (10**9 + 1, f"the same key is 'secret=abcdefghij0123456789' here {words[::-1]}", "en", "b", 7), (10**9 + 2, words, "en", "b", 7), (10**9 + 2, words, "en", "b", 7),
+    ]
+    odd = docs.unionByName(spark.createDataFrame(made, docs.schema)).repartition(3)
+    names = ("row", "key", "hash", "label", "score", "block", "place", "tie", "component_id", "kept", "item_id", "w")
+    return odd.withColumns({n: F.lit("mine") for n in names}), words, leak, first.doc_id
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    docs, words, leak, repeated = odd_documents(spark)
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, str(DATA)).cache()
+        rows = docs.collect()
+        found[name] = rows
+        if name != "mixing":
+            assert docs.columns == before.columns
+        assert all(r.key == r.row == r.hash == r.kept == "mine" for r in rows)
+    texts = {name: [(r.doc_id, r.text) for r in rows] for name, rows in found.items()}
+    assert texts["toxicity"].count((None, None)) == 1 and texts["toxicity"].count((10**9 + 2, words)) == 2
+    near = texts["near_duplicates"]
+    for kept in ((None, None), (None, ""), (repeated, "another text of this id, of which no copy is about")):
+        assert near.count(kept) == 1
+    # one document of each group: the id is known and the least; rows of one id and text count once
+    assert near.count((None, f"{words} without an id")) == 0 and near.count((10**9 + 2, words)) == 1
+    clean = texts["decontamination"]
+    assert not any(leak in (t or "") for _, t in clean) and any(i == repeated and t.startswith("another") for i, t in clean)
+    assert set(near) - set(clean) <= {(i, t) for i, t in near if t}
+    redacted = dict(texts["secrets"])
+    assert "[assign]" in redacted[10**9 + 1] and "abcdefghij0123456789" not in redacted[10**9 + 1] and len(texts["secrets"]) == len(clean)
+    assert {r.block_in for r in found["mixing"]} == {"mine"} and all(r.text for r in found["mixing"])
+
+
+def test_pipeline_keeps_no_tables(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    corpus_pipeline.run(spark, str(DATA)).count()
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} <= {"secrets", "plan"}
+
+
 def test_pipeline_on_no_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
