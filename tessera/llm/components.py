@@ -57,7 +57,11 @@ def components(edges: DataFrame) -> DataFrame:
     Only nodes that some edge links with another node are returned; an empty input gives
     an empty result.
     """
-    now = stars(edges)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return nodes_of(stars(edges))
+
+
+def nodes_of(found: DataFrame) -> DataFrame:
+    """Stars (u, v) -> (node, component), centres included."""
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

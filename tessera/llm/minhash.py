@@ -7,22 +7,26 @@
 3. Band keys that several representatives share are buckets.  Each member is first
    confirmed against the least member that any of its buckets holds; that joins the
    large groups of near copies with one comparison a document.
-4. Buckets that still hold several components are searched across components, signatures
-   first, then sets, inside the task: of the links between two components one leaves it.
-   The rows of a bucket's largest component are dealt in blocks and only the others are
-   repeated, so neither a huge group nor a passage shared by many documents meets in one
-   task.  Links that leave are confirmed on the full sets.
+4. Buckets that still hold several components are searched across components.  Both the
+   largest component's rows and the others are dealt in blocks, and each pair of blocks is
+   a cell, so neither a huge group nor a passage shared by many documents meets in one
+   task.  Cells compare signatures alone first; only rows with a possible partner get
+   their sets and are compared on them, and of the links between two components one
+   leaves a cell.  Links that leave are confirmed on the full texts.
 5. Components by large-star and small-star over confirmed links.
 
-Cases: null or word-less texts have the empty set, link with nothing and are kept;
-texts under `width` words are one shingle; rows of the same doc_id are one node (its
+Words and shingles are compared as 64-bit hashes, sets as 128-bit sums with their sizes, so
+that different ones are taken for equal with a probability of about 2**-64 a pair of words.
+
+Cases: null or word-less texts have the empty set, link with nothing and are kept; very
+long texts are read as a whole; texts under `width` words are one shingle; rows of the same doc_id are one node (its
 texts' links add up); rows with null doc_id are returned unlinked (component_id null,
 kept false); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, filter_of, in_filter, map_arrow, materialize
-from .components import components, stars
+from .components import nodes_of, stars
 from .texthash import U, mix, shingle_sets
 
-#: Rows of a bucket that are compared as one block.
-BLOCK = 2000
+#: Rows of a bucket that are compared as one block; a cell holds two blocks.
+BLOCK = 1000
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,72 +195,36 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(texts, run, "doc_id long, words binary", rows=500)
 
 
-def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, percent: int, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket that link different components.
+def _cells(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cell, doc_id, label, minor): a row for each cell in which a member of a mixed bucket is compared.
 
-    members (key, doc_id); labels (doc_id, label), a row only where label <> doc_id; sets
-    (doc_id, words).  Within a block, components that a link joins count as one from then on,
-    so that a block gives fewer pairs than it has components.
+    Cells hold a block of the bucket's largest component and one of the others (minor), or two
+    blocks of the others; a cell's number tells its pair of blocks.
     """
     rows = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
     buckets = (
         groups.groupBy("key")
         .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
         .where("labels > 1")
-        .select(
-            "key",
-            F.col("top.label").alias("major"),
-            F.ceil(F.col("top.n") / BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("others"),
-        )
+        .select("key", F.col("top.label").alias("major"), blocks(F.col("top.n")).alias("majors"), blocks(F.col("all") - F.col("top.n")).alias("minors"))
     )
-    mixed = rows.join(buckets, "key")
-    salt = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    major = mixed.where("label = major").select("key", "doc_id", "label", F.lit(False).alias("minor"), F.array(salt("blocks")).alias("cells"))
-    # the others meet each block of the largest component, and each other in pairs of blocks
-    own = salt("others")
-    minor = mixed.where("label <> major").select(
-        "key", "doc_id", "label", F.lit(True).alias("minor"),
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k),
-            F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: -(1 + F.least(k, own) * F.col("others") + F.greatest(k, own))),
-        ).alias("cells"),
-    )
-    held = sigs.select("doc_id", "n", "sig").join(sets, "doc_id")
-    cells = major.unionByName(minor).select("key", F.explode("cells").alias("cell"), "doc_id", "label", "minor").join(held, "doc_id")
-    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
-
-    def pairs_of(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, sizes = block.column("doc_id").to_numpy(), block.column("n").to_numpy()
-        group = np.unique(block.column("label").to_numpy(), return_inverse=True)[1]
-        minor = block.column("minor").to_numpy()
-        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        words = [np.frombuffer(w, np.uint64) for w in block.column("words").to_pylist()]
-        in_major = block.column("cell")[0].as_py() >= 0
-        for k in np.flatnonzero(minor):
-            other = (group != group[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
-            other &= ~minor if in_major else ids > ids[k]
-            at = np.flatnonzero(other)
-            at = at[_alike(sig[at], sig[k]) >= least]
-            if not len(at):
-                continue
-            own, theirs = words[k], np.concatenate([words[i] for i in at])
-            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-            cuts = np.cumsum([0, *(len(words[i]) for i in at)])[:-1]
-            both = np.add.reduceat((own[place] == theirs).astype(np.int64), cuts)
-            linked = 100 * both >= percent * (sizes[k] + sizes[at] - both)
-            joined, first = np.unique(group[at[linked]], return_index=True)
-            told = at[linked][first]
-            group[np.isin(group, joined)] = group[k]
-            if len(told):
-                yield np.maximum(ids[told], ids[k]), np.minimum(ids[told], ids[k])
+    mixed = rows.join(buckets, "key").withColumn("minor", F.col("label") != F.col("major"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_minors = F.transform(upto("minors"), lambda k: own * F.col("minors") + k)
+    with_majors = F.transform(upto("majors"), lambda k: k * F.col("minors") + own)
+    among = F.transform(upto("minors"), lambda k: -(1 + F.least(k, own) * F.col("minors") + F.greatest(k, own)))
+    cells = F.when(F.col("minor"), F.concat(with_majors, among)).otherwise(with_minors)
+    return mixed.select("key", F.explode(cells).alias("cell"), "doc_id", "label", "minor")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(block: pa.Table) -> Iterator[pa.RecordBatch]:
-            if found := list(pairs_of(block)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
 
+def _by_cell(dealt: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`work` on all rows of each cell, which come behind each other in one task."""
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
@@ -267,12 +235,73 @@ def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
             edges = [0, *cuts]
             for lo, hi in zip(edges, cuts, strict=False):
-                yield from emit(now.slice(lo, hi - lo))
-            rest = now.slice(edges[-1]).combine_chunks()
+                yield from work(now.slice(lo, hi - lo))
+            rest = now.slice(edges[-1])
         if rest is not None and rest.num_rows:
-            yield from emit(rest)
+            yield from work(rest)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _across(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: float, percent: int, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket that link different components.
+
+    members (key, doc_id); labels (doc_id, label), a row only where label <> doc_id; sets
+    (doc_id, words).  Within a cell, components that a link joins count as one from then on,
+    so that a cell gives fewer pairs than it has components.
+    """
+
+    def partners(block: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Each minor row, and the rows that its size and signature allow a link with, across components."""
+        ids, sizes, label = (block.column(c).to_numpy() for c in ("doc_id", "n", "label"))
+        minor = block.column("minor").to_numpy()
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        in_major = block.column("cell")[0].as_py() >= 0
+        for k in np.flatnonzero(minor):
+            other = (label != label[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
+            at = np.flatnonzero(other & (~minor if in_major else ids > ids[k]))
+            at = at[_alike(sig[at], sig[k]) >= least]
+            if len(at):
+                yield k, at
+
+    def possible(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The cell's rows that have a possible partner."""
+        keep = np.zeros(block.num_rows, bool)
+        for k, at in partners(block):
+            keep[k] = keep[at] = True
+        if keep.any():
+            yield from block.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def linked(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Confirmed links, one between two components."""
+        ids, sizes = block.column("doc_id").to_numpy(), block.column("n").to_numpy()
+        group = np.unique(block.column("label").to_numpy(), return_inverse=True)[1]
+        words = [np.frombuffer(w, np.uint64) for w in block.column("words").to_pylist()]
+        found = []
+        for k, at in partners(block):
+            at = at[group[at] != group[k]]
+            if not len(at):
+                continue
+            own, theirs = words[k], np.concatenate([words[i] for i in at])
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            cuts = np.cumsum([0, *(len(words[i]) for i in at)])[:-1]
+            both = np.add.reduceat((own[place] == theirs).astype(np.int64), cuts)
+            at = at[100 * both >= percent * (sizes[k] + sizes[at] - both)]
+            joined, first = np.unique(group[at], return_index=True)
+            told = at[first]
+            group[np.isin(group, joined)] = group[k]
+            found.append((np.maximum(ids[told], ids[k]), np.minimum(ids[told], ids[k])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    shape = "key long, cell long, doc_id long, label long, minor boolean, n long, sig binary"
+    wide = _cells(members, labels).join(sigs.select("doc_id", "n", "sig"), "doc_id").select("key", "cell", "doc_id", "label", "minor", "n", "sig")
+    left = materialize(_by_cell(wide, possible, shape), "possible")
+    # sets of these rows alone; texts are scanned for them once
+    wanted = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = materialize(_by_cell(left.join(wanted, "doc_id"), linked, "a long, b long").distinct(), "pairs")
+    drop_materialized(left)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 36, rows: int = 6) -> DataFrame:
@@ -286,7 +315,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sigs = materialize(signatures(docs, width, bands, rows), "signatures")
     usable = sigs.where("n > 0 and doc_id is not null")
     same_set = ["fp1", "fp2", "n"]
-    classes = materialize(_class_ids(materialize(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")), "classes")
+    sets_seen = materialize(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "sets")
+    classes = materialize(_class_ids(sets_seen), "classes")
     # from here on a class stands for its texts, under the name of doc_id
     named = usable.join(classes, same_set)
     heads = materialize(named.where("doc_id = rep").dropDuplicates(["cid"]).select(F.col("cid").alias("doc_id"), "rep", "hash", "n", "keys", "sig"), "heads")
@@ -307,9 +337,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     first = _confirmed(_by_signature(hubs, heads, least, percent), texts, width, percent)
     found = stars(as_edges(first).unionByName(same_id))
     labels = found.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
-    apart = materialize(_across(members.select("key", "doc_id"), heads, labels, least, percent, _sets(texts, width)), "pairs")
-    joined = components(found.unionByName(as_edges(_confirmed(apart, texts, width, percent))))
-    linked = materialize(joined.join(classes, F.col("node") == F.col("cid")).select("cid", "rep", "component"), "linked")
+    apart = _across(members.select("key", "doc_id"), heads, labels, least, percent, _sets(texts, width))
+    joined = stars(found.unionByName(as_edges(_confirmed(apart, texts, width, percent))))
+    linked = materialize(nodes_of(joined).join(classes, F.col("node") == F.col("cid")).select("cid", "rep", "component"), "linked")
     least_ids = linked.groupBy("component").agg(F.min("rep").alias("top"))
     tops = classes.join(linked.join(least_ids, "component").select("cid", "top"), "cid", "left").select(*same_set, F.coalesce("top", "rep").alias("top"))
     out = sigs.select("doc_id", *same_set).join(tops, same_set, "left")
@@ -319,6 +349,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"),
     )
     result = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "near")
-    for done in (sigs, classes, heads, members, texts, found, apart, linked):
+    for done in (sigs, sets_seen, classes, heads, members, texts, found, apart, joined, linked):
         drop_materialized(done)
     return result

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash
 from tessera.llm.common import filter_of, in_filter
@@ -81,6 +82,19 @@ def test_against_brute_force(spark, rows, width, block, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles) for r in found if r.doc_id is not None) == sorted((i, len(s)) for i, s in sets)
 
 
+def test_cells_hold_two_blocks(spark, monkeypatch):
+    """A passage in very many documents: every pair of rows of different components meets in a cell, and no cell grows."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    members = spark.range(400).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("doc_id"))
+    labels = spark.range(1, 150).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("label"))
+    cells = {}
+    for r in minhash._cells(members, labels).collect():
+        cells.setdefault(r.cell, []).append((r.doc_id, r.label, r.minor))
+    assert max(len(c) for c in cells.values()) < 3 * 2 * 20
+    met = {(min(a[0], b[0]), max(a[0], b[0])) for c, held in cells.items() for a in held for b in held if a[1] != b[1] and (c < 0 or a[2] != b[2])}
+    assert len(met) == 250 * 150 + 250 * 249 // 2
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
