@@ -1,11 +1,17 @@
-"""Random columns and streams with explicit seeds; equal in law, not bit for bit, to other libraries."""
+"""Random columns and streams with explicit seeds; equal in law, not bit for bit, to other libraries.
+
+Columns are hashes of a row's key under a seed: a row that is computed again, on whatever
+task, draws the same number again.
+"""
 
 from __future__ import annotations
 
+import math
+import os
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.frames import with_row_id
@@ -25,20 +31,32 @@ class Generator:
         self._next += 1
         return self._next
 
-    def uniform(self, lower: float = 0.0, upper: float = 1.0) -> Column:
-        return lower + (upper - lower) * F.rand(self.next_seed())
+    def default_uniform(self, *key: Column | str) -> Column:
+        """Uniform in [0, 1), of 53 bits of a hash of the key columns."""
+        if not key:
+            raise ValueError("random columns need a key that tells rows apart")
+        return F.shiftrightunsigned(F.xxhash64(F.lit(self.next_seed()), *key), 11).cast("double") * 2.0**-53
 
-    def default_uniform(self) -> Column:
-        return F.rand(self.next_seed())
+    def uniform(self, *key: Column | str, lower: float = 0.0, upper: float = 1.0) -> Column:
+        return lower + (upper - lower) * self.default_uniform(*key)
 
-    def discrete_uniform(self, lower: int, upper: int) -> Column:
+    def discrete_uniform(self, *key: Column | str, lower: int, upper: int) -> Column:
         """Integers from lower to below upper."""
         if not lower < upper:
             raise ValueError("the lower bound lies below the upper one")
-        return (lower + F.floor(F.rand(self.next_seed()) * (upper - lower))).cast("int")
+        return (lower + F.floor(self.default_uniform(*key) * (upper - lower))).cast("int")
+
+    def gaussian(self, *key: Column | str, mu: float = 0.0, sigma: float = 1.0) -> Column:
+        """Box and Muller's transformation of two uniform columns."""
+        radius = F.sqrt(-2.0 * F.log(1.0 - self.default_uniform(*key)))
+        return mu + sigma * radius * F.cos(2.0 * math.pi * self.default_uniform(*key))
+
+
+class RandomDevice(Generator):
+    """A generator whose seed comes from the machine's entropy: no two are alike."""
 
-    def gaussian(self, mu: float = 0.0, sigma: float = 1.0) -> Column:
-        return mu + sigma * F.randn(self.next_seed())
+    def __init__(self) -> None:
+        super().__init__(int.from_bytes(os.urandom(6)))
 
 
 _STREAMS = {"next": 0}
@@ -66,7 +84,6 @@ def simple_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     # a threshold keeps little more than n rows, of which the first n are taken
     limit = -(2.0**63) + 2.0**64 * min(1.0, (n + 6 * n**0.5 + 20) / total)
     near = keyed.where(F.col("_u").cast("double") <= limit)
-    w = Window.orderBy("_u", key)
     if near.limit(n).count() < n:  # not for any practical seed
         near = keyed
-    return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_u", "_k")
+    return with_row_id(near, ["_u", key], "_k").where(F.col("_k") < n).drop("_u", "_k")

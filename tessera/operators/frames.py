@@ -17,13 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    """checkpoint() in the cluster's shared folder; a temporary one only where none is set and all is one machine."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set as the session's checkpoint folder."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    return context.getCheckpointDir()
+
+
 def long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "variable", value: str = "value") -> DataFrame:
     """Wide to long: one row per row and column; no shuffle."""
     pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.categorical import encode
-from tessera.operators.frames import cut_lineage, table
+from tessera.operators.frames import checkpoint_folder, table
 from tessera.operators.matrix import Matrix
 from tessera.sources import matrix_files
 from tessera.streaming.moments import windowed_moments
@@ -18,8 +19,7 @@ from .registry import plain, query, rounded
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder among the shared ones."""
-    cut_lineage(spark.range(1))  # sets a checkpoint folder where there is none
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> Matrix:
@@ -70,16 +70,10 @@ def stream_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, 6, ["mean"]), 4, ["variance"])
 
 
-@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) + 0.0 AS middle FROM orders GROUP BY 1")
+@query("SELECT o_orderkey, round(sin(o_totalprice / 1000) * sqrt(o_totalprice), 6) + 0.0 AS v FROM orders")
 def apply_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An arbitrary function of entries by Arrow batches, undone again."""
+    """An arbitrary Python function of entries, by Arrow batches."""
     df = table(spark, sf_dir, "orders")
-
-    @F.pandas_udf("double")
-    def doubled(x):  # noqa: ANN001, ANN202
-        return x * 2
-
-    from tessera.operators.stats import quantile
-
-    out = quantile(df.withColumn("d", doubled("o_totalprice")), "d", [0.5], ["o_orderpriority"])
-    return out.select("o_orderpriority", plain(F.col("quantile") / 2, 4).alias("middle"))
+    m = Matrix.from_wide(df, "o_orderkey", ["o_totalprice"])
+    out = m.apply_python(lambda v: math.sin(v / 1000) * math.sqrt(v))
+    return out.entries.join(df.select(F.col("o_orderkey").alias("i")), "i", "left_semi").select(F.col("i").alias("o_orderkey"), plain(F.col("v"), 6).alias("v"))

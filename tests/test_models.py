@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -148,9 +149,14 @@ def test_conditional_bernoulli_sampling():
 
 def test_random_columns(spark):
     g = randoms.Generator(3)
-    row = spark.range(5000).select(g.uniform(2, 3).alias("u"), g.discrete_uniform(0, 4).alias("d"), g.gaussian(1, 2).alias("g")).agg(F.avg("u"), F.max("d"), F.avg("g")).first()
+    row = spark.range(5000).select(g.uniform("id", lower=2, upper=3).alias("u"), g.discrete_uniform("id", lower=0, upper=4).alias("d"), g.gaussian("id", mu=1, sigma=2).alias("g")).agg(F.avg("u"), F.max("d"), F.avg("g")).first()
     assert row[0] == pytest.approx(2.5, abs=0.05) and row[1] == 3 and row[2] == pytest.approx(1, abs=0.2)
     assert randoms.simple_sample(spark.range(500), "id", 20, seed=1).count() == 20
+    twice = [sorted(tuple(r) for r in spark.range(0, 100, 1, parts).select("id", randoms.Generator(5).gaussian("id")).collect()) for parts in (1, 7)]
+    assert twice[0] == twice[1]
+    assert randoms.RandomDevice().seed != randoms.RandomDevice().seed
+    streams = [randoms.next_stream(3, 4) for _ in range(5)]
+    assert len({s.seed for s in streams}) == 4 and streams[0].seed == streams[4].seed
     positions = randoms.permutation(spark.range(50), "id", seed=1).select("position").collect()
     assert sorted(r[0] for r in positions) == list(range(50))
 
@@ -159,6 +165,21 @@ def test_special_functions(spark):
     row = spark.range(1).select(special.log_gamma(F.lit(5.0)), special.factorial(F.lit(25)), special.factorial(F.lit(4)), special.binomial(F.lit(6), F.lit(2)), special.normal_cdf(F.lit(0.0))).first()
     assert row[:] == pytest.approx((math.log(24), math.factorial(25), 24, 15, 0.5))
     assert special.factorial_of(171) == math.inf
+    xs = [x / 7 for x in range(-60, 61)] + [26.0, 30.0]
+    assert _values(spark, special.erfc, xs) == pytest.approx([math.erfc(x) for x in xs], rel=1e-13, abs=1e-300)
+    assert _values(spark, special.normal_cdf, xs) == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], rel=1e-12)
+    p = [1e-300, 1e-20, 1e-5, 0.07, 0.3, 0.5, 0.6, 0.95, 1 - 1e-9]
+    assert _values(spark, special.normal_quantile, p) == pytest.approx([NormalDist().inv_cdf(x) for x in p], rel=1e-11)
+    assert _values(spark, special.normal_quantile, [0.0, 1.0]) == [-math.inf, math.inf] and math.isnan(_values(spark, special.normal_quantile, [1.5])[0])
+    g = [1e-6, 0.5, 1.0, 1.5, 2.0, 9.999, 10.0, 171.5, 1e8]
+    assert _values(spark, special.log_gamma, g) == pytest.approx([math.lgamma(x) for x in g], rel=1e-13, abs=1e-14)
+    pairs = spark.range(400).select("id", F.explode(F.sequence(F.lit(0), F.col("id"), F.lit(17))).alias("k")).select("id", "k", special.binomial(F.col("id"), F.col("k")).alias("b")).collect()
+    assert all(r.b == pytest.approx(float(math.comb(r.id, r.k)), rel=1e-11) for r in pairs) and all(r.b == math.comb(r.id, r.k) for r in pairs if r.id <= 50)
+    for wrong in (special.log_gamma(F.lit(0.0)), special.factorial(F.lit(-1)), special.binomial(F.lit(3), F.lit(4))):
+        with pytest.raises(Exception, match="needs"):
+            spark.range(1).select(wrong).collect()
+    plan = spark.range(3).select(special.normal_cdf(F.col("id")), special.binomial(F.col("id"), F.lit(0)))._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_derivatives():

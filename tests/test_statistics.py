@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -74,6 +75,48 @@ def test_quantiles_of_a_hundred(spark):
         stats.quantile(df, "x", [1.5])
 
 
+def type8(xs, p):
+    s = sorted(xs)
+    h = max(1.0, min(float(len(s)), (len(s) + 1 / 3) * p + 1 / 3))
+    k = int(h)
+    return s[k - 1] + (h - k) * (s[min(k, len(s) - 1)] - s[k - 1])
+
+
+def test_brackets_are_narrowed(spark, monkeypatch):
+    """Brackets with too many values, and sketches that miss, give the same quantiles."""
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(5)), None if k % 9 == 0 else rng.random(), "ab"[k % 3 == 0]) for k in range(4000)] + [(None, None, None, "c"), (1.0, 2.0, None, None)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, g string").repartition(3)
+    probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    for inside, small, bracket, accuracy in ((100_000, 5000, 0.0005, 10_000), (30, 100, 0.2, 10_000), (40, 100, 0.01, 20)):
+        for name, v in (("_INSIDE", inside), ("_SMALL", small), ("_BRACKET", bracket), ("_ACCURACY", accuracy)):
+            monkeypatch.setattr(stats, name, v)
+        for groups in (10_000, 1) if accuracy == 20 else (10_000,):
+            monkeypatch.setattr(stats, "_GROUPS", groups)
+            found = {(r.g, r.probability): r.quantile for r in stats.quantile(df, "x", probs, ["g"]).collect()}
+            assert found == pytest.approx({(g, p): type8([r[0] for r in rows if r[3] == g and r[0] is not None], p) for g in ("a", "b", None) for p in probs})
+        wide = {(r.variable, r.probability): r.quantile for r in stats.quantile_columns(df, ["x", "y", "z"], probs).collect()}
+        assert wide == pytest.approx({(c, p): type8([r[i] for r in rows if r[i] is not None], p) for i, c in enumerate("xyz") for p in probs})
+
+
+def test_row_quantiles_and_large_means(spark):
+    rows = [(k, 1e9 + k % 7, 1e9 + (k * k) % 11, 1e9 - k % 5, float(1 + k % 3)) for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, w double")
+    for p in (0.1, 0.5, 0.9):
+        found = {r.id: r.q for r in df.select("id", stats.row_quantile(["a", "b", "c"], p).alias("q")).collect()}
+        assert found == pytest.approx({r[0]: type8(r[1:4], p) for r in rows})
+    x, w = np.array([r[1:4] for r in rows]), np.array([r[4] for r in rows])
+    got = {r.variable: (r["mean"], r.variance) for r in stats.weighted_moments(df, ["a", "b"], "w").collect()}
+    for i, c in enumerate("ab"):
+        assert got[c][0] == pytest.approx(np.average(x[:, i], weights=w)) and got[c][1] == pytest.approx(np.average((x[:, i] - np.average(x[:, i], weights=w)) ** 2, weights=w), rel=1e-6)
+    cells = [(k, j, float(v)) for k, r in enumerate(x[:6]) for j, v in enumerate(r) if (k + j) % 4]
+    dense = np.zeros((6, 3))
+    for k, j, v in cells:
+        dense[k, j] = v
+    got = {(r.i, r.k): r.value for r in stats.row_covariance(spark.createDataFrame(cells, "i long, j int, v double"), 3).collect()}
+    assert got == pytest.approx({(i, k): np.cov(dense, bias=True)[i, k] for i in range(6) for k in range(6)}, rel=1e-6)
+
+
 def test_quantiles_of_many_values_with_ties(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=20_000), 2)
