@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import INF, with_row_id, with_running
+from .frames import INF, cut_lineage, with_row_id, with_running
 from .matrix import Matrix
 
 
@@ -48,12 +48,16 @@ class CategoricalFrame:
         cells = Matrix.dense(self.rows.sparkSession, len(cats), 1, [c for c, _ in cats])
         return cells.set_names({k: label for k, (_, label) in enumerate(cats)}, name=variable)
 
-    def disjoin(self, checked: bool = True) -> DataFrame:
-        """One 0/1 column `variable=label` per category; an unknown code raises."""
+    def disjoin(self, checked: bool = True, supplementary: DataFrame | None = None) -> DataFrame:
+        """One 0/1 column `variable=label` per category; an unknown code raises.
+
+        supplementary: other individuals (row_id and codes), by the categories of this data set.
+        """
+        rows = self.rows if supplementary is None else supplementary
         if checked:
-            validate(self.rows, self.codebook, self.variables)
+            validate(rows, self.codebook, self.variables)
         cells = [(F.col(v) == code).cast("double").alias(f"{v}={label}") for v in self.variables for code, label in self.categories(v)]
-        return self.rows.select("row_id", *cells)
+        return rows.select("row_id", *cells)
 
     def contingency(self, row: str, column: str) -> DataFrame:
         """Joint counts with all zero cells: row_code, row_label, column_code, column_label, n."""
@@ -80,7 +84,7 @@ def encode(df: DataFrame, row: str, variables: Sequence[str], categorizers: dict
     variables = tuple(variables)
     special = categorizers or {}
     labelled = df.select(F.col(row).alias("row_id"), *[(special[v](F.col(v)) if v in special else F.col(v)).cast("string").alias(v) for v in variables])
-    book = codebook_of(labelled, "row_id", variables)
+    book = cut_lineage(codebook_of(labelled, "row_id", variables))  # one scan for all variables
     out = labelled
     for v in variables:
         own = book.where(F.col("variable") == v).select(F.col("label").alias(v), F.col("code").alias("_code"))
@@ -195,6 +199,15 @@ def _merged(parts: Sequence[dict[str, int]]) -> dict[str, int]:
     return out
 
 
+def _accepted(parts: Sequence[dict]) -> bool:
+    """Whether a cut into two parts (target counts) shortens the description."""
+    parts = [{t: m for t, m in p.items() if m} for p in parts]
+    whole = _merged(parts)
+    n, k, h = sum(whole.values()), len(whole), _entropy(whole)
+    gain = h - sum(sum(p.values()) * _entropy(p) for p in parts) / n
+    return gain > (math.log2(n - 1) + math.log2(3**k - 2) - (k * h - sum(len(p) * _entropy(p) for p in parts))) / n
+
+
 def cut_points(histogram: Sequence[tuple[float, dict[str, int]]]) -> list[float]:
     """Cuts by least weighted entropy, accepted while the description length falls.
 
@@ -208,7 +221,7 @@ def cut_points(histogram: Sequence[tuple[float, dict[str, int]]]) -> list[float]
     while stack:
         lo, hi = stack.pop()
         whole = _merged(counts[lo:hi])
-        n, h, k = sum(whole.values()), _entropy(whole), len(whole)
+        n = sum(whole.values())
         left: dict[str, int] = {}
         best, at, right = None, lo, dict(whole)
         for cut in (b for b in borders if lo < b < hi):
@@ -221,12 +234,11 @@ def cut_points(histogram: Sequence[tuple[float, dict[str, int]]]) -> list[float]
             a, z = sum(left.values()), sum(r.values())
             e = (a * _entropy(left) + z * _entropy(r)) / n
             if best is None or e < best[0] - 1e-12:
-                best = (e, cut, _entropy(left), len(left), _entropy(r), len(r))
+                best = (e, cut)
         if best is None:
             continue
-        e, cut, ha, ka, hz, kz = best
-        price = (math.log2(n - 1) + math.log2(3**k - 2) - (k * h - ka * ha - kz * hz)) / n
-        if h - e > price:
+        cut = best[1]
+        if _accepted([_merged(counts[lo:cut]), _merged(counts[cut:hi])]):
             found.append((values[cut - 1] + values[cut]) / 2)
             stack += [(lo, cut), (cut, hi)]
     return sorted(found)
@@ -247,23 +259,63 @@ def interval_label(cuts: Sequence[float]) -> Callable[[Column], Column]:
     return categorize
 
 
-#: Distinct values of a column that may be brought to the driver for the recursion.
-HISTOGRAM_ROWS = 200_000
+#: Classes of a target, at most: a count of each is held for every border.
+TARGETS = 10_000
 
 
-def entropy_categorizers(df: DataFrame, numeric: Sequence[str], target: str) -> dict[str, Callable[[Column], Column]]:
-    """A categorizer per numeric column, from the column's histogram against the target.
+def _entropy_of(counts: Column, n: Column) -> Column:
+    """Entropy in bits of an array of counts with the sum n."""
+    parts = F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0))
+    return F.when(n > 0, F.log2(n.cast("double")) - parts / n).otherwise(0.0)
+
+
+def table_cut_points(df: DataFrame, numeric: str, target: str) -> list[float]:
+    """cut_points of a column's histogram against a target, which stays where it is.
 
-    Columns with more distinct values than the driver should hold are first rounded to
-    quantile bins, which is said by the cuts lying on bin borders.
+    Running counts of the targets are kept at each border between blocks; a pass over the
+    borders finds the best cut of every open segment, and the driver decides from its counts
+    whether to accept it.  One pass for each level of cuts.
     """
-    out = {}
-    for c in numeric:
-        held = df.select(F.col(c).cast("double").alias(c), F.col(target).cast("string").alias(target)).where(f"`{c}` is not null and `{target}` is not null")
-        if held.select(F.approx_count_distinct(c)).first()[0] > HISTOGRAM_ROWS:
-            grid = held.select(F.percentile_approx(c, [k / 10_000 for k in range(1, 10_001)], 100_000)).first()[0]
-            edges = F.array(*[F.lit(x) for x in sorted(set(grid))])
-            held = held.withColumn(c, F.array_min(F.filter(edges, lambda e, c=c: e >= F.col(c))))
-        rows = bins(held, c, target).select("value", "counts").orderBy("value").collect()
-        out[c] = interval_label(cut_points([(r.value, r.counts) for r in rows]))
-    return out
+    held = df.select(F.col(numeric).cast("double").alias("value"), F.col(target).cast("string").alias("target")).where("value is not null and target is not null and not isnan(value)")
+    names = sorted(r.target for r in held.select("target").distinct().limit(TARGETS + 1).collect())
+    if len(names) > TARGETS:
+        raise ValueError(f"more than {TARGETS} classes")
+    if not names:
+        return []
+    one = lambda k, name: F.sum((F.col("target") == name).cast("long")).alias(f"n{k}")
+    by_value = held.groupBy("value").agg(*[one(k, name) for k, name in enumerate(names)])
+    sums = {f"c{k}": F.col(f"n{k}") for k in range(len(names))} | {"place": F.lit(1).cast("long")}
+    running = with_running(by_value, ["value"], sums)
+    pure = F.when(F.size(F.filter(F.array(*[F.col(f"n{k}") for k in range(len(names))]), lambda c: c > 0)) == 1, F.array_position(F.array(*[(F.col(f"n{k}") > 0) for k in range(len(names))]), True))
+    counts = F.array(*[F.col(f"c{k}") for k in range(len(names))])
+    listed = cut_lineage(running.select("place", "value", pure.alias("pure"), counts.alias("to")))
+    after = listed.select((F.col("place") - 1).alias("place"), F.col("value").alias("next"), F.col("pure").alias("next_pure"))
+    same = F.coalesce(F.col("pure") == F.col("next_pure"), F.lit(False))
+    borders = cut_lineage(listed.join(after, "place").where(~same).select("value", "next", "to"))
+    total = held.agg(*[one(k, name) for k, name in enumerate(names)]).first()
+    shape = "id int, low double, high double, before array<long>, whole array<long>"
+    found: list[float] = []
+    open_ = [(-INF, INF, [0] * len(names), list(total))]
+    while open_:
+        segments = [(i, low, high, before, [b - a for a, b in zip(before, to, strict=True)]) for i, (low, high, before, to) in enumerate(open_)]
+        met = borders.join(F.broadcast(df.sparkSession.createDataFrame(segments, shape)), (F.col("value") >= F.col("low")) & (F.col("next") <= F.col("high")))
+        left = F.zip_with("to", "before", lambda t, b: t - b)
+        met = met.withColumn("left", left).withColumn("right", F.zip_with("whole", "left", lambda w, x: w - x))
+        size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+        met = met.withColumns({"a": size("left"), "z": size("right")}).where("a > 0 and z > 0")
+        price = (F.col("a") * _entropy_of(F.col("left"), F.col("a")) + F.col("z") * _entropy_of(F.col("right"), F.col("z"))) / (F.col("a") + F.col("z"))
+        best = met.groupBy("id").agg(F.min(F.struct(F.round(price, 12).alias("e"), "value", "next", "to")).alias("b")).collect()
+        again = []
+        for r in best:
+            low, high, before, to = open_[r.id]
+            parts = [[y - x for x, y in zip(before, r.b.to, strict=True)], [y - x for x, y in zip(r.b.to, to, strict=True)]]
+            if _accepted([dict(enumerate(p)) for p in parts]):
+                found.append((r.b.value + r.b.next) / 2)
+                again += [(low, r.b.value, before, r.b.to), (r.b.next, high, r.b.to, to)]
+        open_ = again
+    return sorted(found)
+
+
+def entropy_categorizers(df: DataFrame, numeric: Sequence[str], target: str) -> dict[str, Callable[[Column], Column]]:
+    """A categorizer per numeric column, from the column's histogram against the target."""
+    return {c: interval_label(table_cut_points(df, c, target)) for c in numeric}

@@ -2,12 +2,17 @@
 
 A cell that has no row is zero, so the dense and the sparse form are one.  The shape,
 names and the storage scheme are kept beside the frame.  Products join on the inner
-index and combine before the shuffle; right-hand sides of a division are small squares
-by nature and are factored on the driver, behind a check of their size.
+index and combine before the shuffle, and a small side is broadcast; right-hand sides of a
+division are small squares by nature and are factored on the driver, behind a check of
+their size.
+
+Entry-wise operations meet absent zeros with infinities and NaN as dense ones would (0
+times infinity is NaN).  In matrix products an absent entry contributes nothing.
 """
 
 from __future__ import annotations
 
+import cmath
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -19,6 +24,8 @@ from .frames import NAN, ieee_divide, with_row_id
 
 #: Largest side of a matrix that is brought to the driver.
 DRIVER_SIDE = 4096
+#: Cells of a matrix that is broadcast in a product (some 24 bytes each).
+BROADCAST_CELLS = 1_000_000
 COMPLEX = "struct<re:double,im:double>"
 
 
@@ -60,7 +67,7 @@ class Field:
         return _pair(F.sum(a.re), F.sum(a.im)) if self.complex else F.sum(a)
 
     def nonzero(self, a: Column) -> Column:
-        return (a.re != 0) | (a.im != 0) if self.complex else a != 0
+        return (a.re != 0) | (a.im != 0) if self.complex else a != 0  # NaN isn't zero
 
     def equal(self, a: Column, x: complex) -> Column:
         if self.complex:
@@ -231,15 +238,17 @@ class Matrix:
 
     def scale(self, x: complex) -> Matrix:
         a = self.as_complex() if isinstance(x, complex) else self
-        return a._with(a.entries.select("i", "j", a.field.multiply(F.col("v"), a.field.literal(x)).alias("v")))
+        held = a.entries if cmath.isfinite(x) else a.filled()
+        return a._with(held.select("i", "j", a.field.multiply(F.col("v"), a.field.literal(x)).alias("v")))
 
     def hadamard(self, other: Matrix) -> Matrix:
         """Entry-wise product."""
         a, b, kind = self._same_kind(other)
         if (a.n_rows, a.n_cols) != (b.n_rows, b.n_cols):
             raise ValueError("the shapes differ")
-        joined = a.entries.join(b.entries.withColumnRenamed("v", "w"), ["i", "j"])
-        return a._with(joined.select("i", "j", kind.multiply(F.col("v"), F.col("w")).alias("v")))
+        joined = a.entries.join(b.entries.withColumnRenamed("v", "w"), ["i", "j"], "full_outer")
+        out = joined.select("i", "j", kind.multiply(F.coalesce("v", kind.zero()), F.coalesce("w", kind.zero())).alias("v"))
+        return a._with(out.where(kind.nonzero(F.col("v"))))
 
     def __mul__(self, other: Matrix | complex) -> Matrix:
         """Matrix product; a 1 x 1 operand scales."""
@@ -252,7 +261,12 @@ class Matrix:
             raise ValueError("the inner sizes differ")
         a, b, kind = self._same_kind(other)
         right = b.entries.select(F.col("i").cast("int").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
-        joined = a.entries.withColumnRenamed("j", "k").join(right, "k")
+        if other.n_rows * other.n_cols <= BROADCAST_CELLS:
+            right = F.broadcast(right)  # the left side's rows stay where they are
+        left = a.entries.withColumnRenamed("j", "k")
+        if self.n_rows * self.n_cols <= BROADCAST_CELLS < other.n_rows * other.n_cols:
+            left = F.broadcast(left)
+        joined = left.join(right, "k")
         out = joined.groupBy("i", F.col("c").alias("j")).agg(kind.sum(kind.multiply(F.col("v"), F.col("w"))).alias("v"))
         return Matrix(out, self.n_rows, other.n_cols, row_names=self.row_names, col_names=other.col_names)
 
@@ -330,6 +344,50 @@ class Matrix:
             shape[k], names[k] = len(chosen), {p: names[k][x] for p, x in enumerate(chosen) if x in names[k]}
         return Matrix(out.select("i", "j", "v"), *shape, self.name, *names)
 
+    def assign(self, rows: Sequence[int] | int | str, cols: Sequence[int] | int | str, value: Matrix | complex) -> Matrix:
+        """The matrix with other entries at chosen rows and columns, as m[rows, cols] = value.
+
+        value is a number, or a matrix of the chosen shape; ":" is all, and of repeated
+        indexes the last counts.
+        """
+        shape, lists = [self.n_rows, self.n_cols], []
+        for k, chosen in enumerate((rows, cols)):
+            if isinstance(chosen, str):
+                lists.append(None)
+                continue
+            chosen = [chosen] if isinstance(chosen, int) else list(chosen)
+            if not chosen or any(not 0 <= x < shape[k] for x in chosen):
+                raise IndexError("an index lies outside the matrix")
+            lists.append(chosen)
+            shape[k] = len(chosen)
+        value = self._lift(value)
+        single = (value.n_rows, value.n_cols) == (1, 1)
+        if not single and [value.n_rows, value.n_cols] != shape:
+            raise ValueError("the value doesn't have the shape of the chosen entries")
+        a, b, kind = self._same_kind(value)
+
+        def places(chosen: list[int] | None, size: int, name: str, at: str) -> DataFrame:
+            """(name: an index; at: the last place that it is chosen at)."""
+            if chosen is None:
+                return self.spark.range(size).select(F.col("id").alias(name), F.col("id").alias(at))
+            return self.spark.createDataFrame(list({x: (x, p) for p, x in enumerate(chosen)}.values()), f"{name} long, {at} long")
+
+        # what stays: all but entries whose row and column are both chosen
+        inside = [places(c, n, x, "_p").select(F.col(x), F.lit(True).alias(f"_{x}")) for c, n, x in ((lists[0], self.n_rows, "i"), (lists[1], self.n_cols, "j"))]
+        kept = a.entries
+        for k, name in enumerate(("i", "j")):
+            kept = kept.withColumn(f"_{name}", F.lit(True)) if lists[k] is None else kept.join(F.broadcast(inside[k]), name, "left")
+        kept = kept.where(~(F.coalesce("_i", F.lit(False)) & F.coalesce("_j", F.lit(False)))).select("i", "j", "v")
+        of_rows, of_cols = places(lists[0], self.n_rows, "i", "_r"), places(lists[1], self.n_cols, "j", "_c")
+        if single:
+            x = kind.literal(b.scalar())
+            new = of_rows.crossJoin(F.broadcast(of_cols)) if lists[1] is not None or self.n_cols <= DRIVER_SIDE else of_cols.crossJoin(F.broadcast(of_rows))
+            new = new.select("i", F.col("j").cast("int").alias("j"), x.alias("v"))  # as many cells as are assigned
+        else:
+            held = b.entries.select(F.col("i").alias("_r"), F.col("j").cast("long").alias("_c"), "v")
+            new = held.join(of_rows, "_r").join(of_cols, "_c").select("i", F.col("j").cast("int").alias("j"), "v")
+        return a._with(kept.unionByName(new.where(kind.nonzero(F.col("v")))))
+
     def linear(self) -> DataFrame:
         """The stored entries by linear index, column by column: l, v."""
         return self.entries.select((F.col("i") + F.col("j") * F.lit(self.n_rows)).cast("long").alias("l"), "v")

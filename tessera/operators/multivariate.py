@@ -6,10 +6,11 @@ pass, the driver decomposes it, and scores are column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,16 +94,25 @@ class Cloud:
         if least is None or least < 0 or abs(total - 1) > 1e-3:
             raise ValueError("weights must not be negative and must sum to 1")
 
+    @staticmethod
+    def checked(df: DataFrame, columns: Sequence[str], weight: str | None = None, basis: Basis | None = None) -> Cloud:
+        """A cloud whose weights are checked first: a pass over the weight column."""
+        cloud = Cloud(df, tuple(columns), weight, basis)
+        cloud.validate()
+        return cloud
+
     def moments(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """Mean, covariance (population) and total weight, from one pass."""
+        """Mean, covariance (population) and total weight, from one pass; a negative weight raises."""
         k, w = len(self.columns), self._w()
         x = [F.col(c).cast("double") for c in self.columns]
         shift = self.df.select([F.first(a, True) for a in x]).first()  # sums about a point of the cloud keep digits
         at = [float(s or 0.0) for s in shift]
-        cells = [F.sum(w).alias("w")] + [F.sum(w * (a - at[i])).alias(f"m{i}") for i, a in enumerate(x)]
+        cells = [F.sum(w).alias("w"), F.min(w).alias("least")] + [F.sum(w * (a - at[i])).alias(f"m{i}") for i, a in enumerate(x)]
         cells += [F.sum(w * (x[i] - at[i]) * (x[j] - at[j])).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
         row = self.df.agg(*cells).first()
         total = row["w"]
+        if row["least"] is None or row["least"] < 0 or not total > 0:
+            raise ValueError("a cloud has points, and weights that aren't negative")
         mean = np.array([row[f"m{i}"] for i in range(k)]) / total
         cov = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total - np.outer(mean, mean)
         return mean + np.array(at), cov, total
@@ -290,11 +300,16 @@ class MultipleCorrespondence:
     data: CategoricalFrame
 
     def individuals(self, prefix: str = "factor") -> DataFrame:
-        """Each individual's scores: the scaled mean of its categories' scores, as expressions."""
-        q = len(self.data.variables)
-        cells = [F.when(F.col(v) == code, 1.0).otherwise(0.0) for v, code, _ in self.categories]
-        m = self.category_coordinates / (q * np.sqrt(self.variances))
-        return self.data.rows.withColumns({f"{prefix}{k + 1}": s for k, s in enumerate(linear(cells, m))})
+        """Each individual's scores: the scaled mean of its categories' scores, looked up and added."""
+        m = self.category_coordinates / (len(self.data.variables) * np.sqrt(self.variances))
+        rows, sums = self.data.rows, None
+        for n, v in enumerate(self.data.variables):
+            own = [(code, m[k].tolist()) for k, (name, code, _) in enumerate(self.categories) if name == v]
+            table = rows.sparkSession.createDataFrame(own, f"_code{n} double, _s{n} array<double>")
+            rows = rows.join(F.broadcast(table), F.col(v) == F.col(f"_code{n}"), "left").drop(f"_code{n}")
+            sums = F.col(f"_s{n}") if sums is None else F.zip_with(sums, F.col(f"_s{n}"), lambda a, b: a + b)
+        scores = rows.select(*self.data.rows.columns, sums.alias("_scores"))
+        return scores.select(*self.data.rows.columns, *[F.get("_scores", F.lit(k)).alias(f"{prefix}{k + 1}") for k in range(m.shape[1])])
 
 
 def multiple_correspondence(data: CategoricalFrame) -> MultipleCorrespondence:
@@ -464,18 +479,40 @@ def singular_value_decomposition(a: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return u, d, vh
 
 
+def triangular_factor(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """R of the QR factorisation of a tall frame.
+
+    Each task factors its rows batch by batch; the tasks' triangles are stacked and factored
+    again in groups, so that the driver gets few of them.  No second moments are formed, so
+    small singular values keep their digits.
+    """
+    k = len(columns)
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, k))
+        for batch in batches:
+            own = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(k)])
+            held = np.linalg.qr(np.concatenate([held, own]), mode="r") if len(own) else held
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(k)], [f"x{i}" for i in range(k)])
+
+    shape = ", ".join(f"x{i} double" for i in range(k))
+    parts = df.select(*x).dropna().mapInArrow(factor, shape)
+    groups = max(1, int(df.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    few = parts.repartition(groups).mapInArrow(factor, shape).collect()
+    r = np.array([tuple(row) for row in few], float).reshape(-1, k)
+    return np.linalg.qr(r, mode="r") if len(r) else np.zeros((0, k))
+
+
 def tall_svd(df: DataFrame, columns: Sequence[str], prefix: str = "u") -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Thin decomposition of a tall frame: the frame with U's columns, singular values, V.
 
-    Second moments are summed in one pass; U is an expression, never collected.
+    The values come from the triangular factor; U is an expression, never collected.
+    Directions whose singular value is zero to working precision have no column.
     """
     x = [F.col(c).cast("double") for c in columns]
-    k = len(x)
-    row = df.agg(*[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1]
-    order = order[values[order] > values.max() * 1e-14]
-    s, v = np.sqrt(values[order]), vectors[:, order]
+    _, s, vt = np.linalg.svd(triangular_factor(df, columns), full_matrices=False)
+    keep = s > (s.max(initial=0) * len(columns) * np.finfo(float).eps)
+    s, v = s[keep], vt[keep].T
     v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1)
     return df.withColumns({f"{prefix}{d + 1}": e for d, e in enumerate(linear(x, v / s))}), s, v

@@ -103,6 +103,7 @@ def matrix_json(m: Matrix, sparse: bool = False) -> DataFrame:
     if sparse:
         held = m.entries.where(m.field.nonzero(F.col("v"))).select("i", "j", value.alias("x"))
         listed = held.agg(F.array_sort(F.collect_list(F.struct("i", "j", "x"))).alias("e"))
+        # entries come by row: where a row begins is where the first entry of it or of a later one stands
         row_index = F.transform(F.sequence(F.lit(0), F.lit(m.n_rows)), lambda r: F.size(F.filter("e", lambda c: c.i < r)))
         body = listed.select(F.struct(F.lit(SCHEMES["CompressedRow"]).alias("StorageScheme"), *shape, F.size("e").alias("Capacity"), F.col("e.x").alias("Values"), F.col("e.j").alias("Columns"), row_index.alias("RowIndex")).alias("Implementor"))
     else:
@@ -171,6 +172,17 @@ def categorical_json(data: CategoricalFrame, name: str | None = None) -> DataFra
     return matrix_json(codes).select(F.concat(F.lit(f'{{"Variables": {variables}, "Data": '), "json", F.lit(tail)).alias("json"))
 
 
+def read_categorical_json(df: DataFrame, column: str = "json") -> CategoricalFrame:
+    """The data set in a one-row frame's JSON: its codes, row_id from 0 on, and its codebook."""
+    spark = df.sparkSession
+    held = json.loads(df.select(F.get_json_object(column, "$.Variables").alias("v")).first().v)
+    names = tuple(v["Name"] for v in held)
+    book = [(v["Name"], float(c["Code"]), c["Label"]) for v in held for c in v["Categories"]]
+    codes = read_matrix_json(df.select(F.get_json_object(column, "$.Data").alias("json")))
+    wide = codes.filled().groupBy(F.col("i").alias("row_id")).agg(*[F.max(F.when(F.col("j") == k, F.col("v"))).alias(name) for k, name in enumerate(names)])
+    return CategoricalFrame(wide, spark.createDataFrame(book, "variable string, code double, label string"), names)
+
+
 def write_categorical(data: CategoricalFrame, path: str) -> None:
     """Codes as Parquet and the codebook as JSON lines."""
     data.rows.write.parquet(f"{path}/rows")

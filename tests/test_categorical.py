@@ -153,3 +153,34 @@ def test_index_lists(spark):
     assert df.select(indexes.compare(F.col("a"), F.col("b")), indexes.compare(F.col("c"), F.col("b")), indexes.gather(F.col("a"), F.col("c")), indexes.largest(F.col("d"))).first()[:] == (1, -1, [0, 3], 3)
     with pytest.raises(ValueError):
         indexes.from_array([-1])
+
+
+def test_cuts_of_a_table_equal_those_of_its_histogram(spark):
+    """More distinct values than any histogram on the driver, mixed and pure, with several cuts."""
+    import random
+
+    rng = random.Random(4)
+    small = [(rng.randrange(200) / 4, rng.choice("ab") if rng.random() < 0.2 else "abcb"[min(3, rng.randrange(4))]) for _ in range(800)]
+    small += [(x / 4, "abca"[x // 60]) for x in range(240) for _ in range(5)]
+    df = spark.createDataFrame([*small, (None, "a"), (1.0, None)], "x double, t string").repartition(4)
+    histogram = {}
+    for x, t in small:
+        histogram.setdefault(x, {}).setdefault(t, 0)
+        histogram[x][t] += 1
+    expected = cat.cut_points(sorted(histogram.items()))
+    assert len(expected) >= 3 and cat.table_cut_points(df, "x", "t") == expected
+    large = spark.range(300_000).select((F.col("id") / 3.0).alias("x"), F.when(F.col("id") < 100_000, "a").when(F.col("id") % 2 == 0, "b").otherwise("c").alias("t"))
+    assert cat.table_cut_points(large, "x", "t") == [(99_999 / 3.0 + 100_000 / 3.0) / 2]
+    assert cat.table_cut_points(df.limit(0), "x", "t") == []
+
+
+def test_supplementary_individuals_and_json(spark):
+    from tessera.sources import matrix_files
+
+    data = cat.encode(spark.createDataFrame([(k, "abca"[k], "xyyx"[k]) for k in range(4)], "id long, u string, v string"), "id", ["u", "v"])
+    more = spark.createDataFrame([(9, 2.0, 1.0)], "row_id long, u double, v double")
+    assert data.disjoin(supplementary=more).first()[:] == (9, 0.0, 0.0, 1.0, 0.0, 1.0)
+    with pytest.raises(cat.UnknownCode):
+        data.disjoin(supplementary=more.withColumn("u", F.lit(7.0)))
+    back = matrix_files.read_categorical_json(matrix_files.categorical_json(data, "d"))
+    assert sorted(map(tuple, back.decode().collect())) == sorted(map(tuple, data.decode().collect()))

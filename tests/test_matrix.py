@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,46 @@ def test_files(spark, tmp_path, sparse, kind):
 def test_first_line_of_a_file(spark, tmp_path):
     matrix_files.write_csv(Matrix.from_numpy(spark, A), str(tmp_path / "m"))
     assert [r.line for r in matrix_files.read_lines(spark, str(tmp_path / "m")).orderBy("n").collect()] == ["Dense|Double,2,3,,", ",,,", ",1.0,0.0,2.0,", ",0.0,3.0,-1.0,"]
+
+
+def test_assignment(spark):
+    a = np.arange(1.0, 21).reshape(4, 5)
+    a[1, 2] = 0
+    m = Matrix.from_numpy(spark, a)
+    for rows, cols in ((1, 2), (0, ":"), (":", 3), (":", ":"), ([3, 1], [0, 4, 2]), (2, [1, 1]), ([0, 0, 2], ":"), (":", [4, 0]), ([1], 1)):
+        r = range(4) if rows == ":" else [rows] if isinstance(rows, int) else rows
+        c = range(5) if cols == ":" else [cols] if isinstance(cols, int) else cols
+        for value in (7.5, 0.0, np.arange(float(len(r) * len(c))).reshape(len(r), len(c))):
+            expected = a.copy()
+            for p, i in enumerate(r):
+                for q, j in enumerate(c):
+                    expected[i, j] = value if isinstance(value, float) else value[p, q]
+            given = value if isinstance(value, float) else Matrix.from_numpy(spark, value)
+            if value is not None and not isinstance(value, float) and value.size == 1:
+                continue
+            assert (m.assign(rows, cols, given).to_numpy() == expected).all()
+    assert (m.assign(0, 0, 2j).to_numpy()[0, 0]) == 2j
+    with pytest.raises(IndexError):
+        m.assign(4, 0, 1.0)
+    with pytest.raises(ValueError):
+        m.assign([0, 1], 0, Matrix.from_numpy(spark, np.ones((1, 2))))
+
+
+def test_absent_zeros_meet_what_is_not_finite(spark):
+    a = Matrix.sparse(spark, 2, 2, [(0, 0, 1.0), (0, 1, math.inf), (1, 0, 2.0)])
+    b = Matrix.sparse(spark, 2, 2, [(0, 0, 3.0), (1, 1, math.nan)])
+    with np.errstate(invalid="ignore"):
+        assert np.array_equal(a.hadamard(b).to_numpy(), a.to_numpy() * b.to_numpy(), equal_nan=True)
+        assert np.array_equal((a * math.inf).to_numpy(), a.to_numpy() * math.inf, equal_nan=True)
+    assert (b.scalar_over(6.0).to_numpy()[0] == [2.0, math.inf]).all()
+
+
+def test_products_with_either_side_small(spark, monkeypatch):
+    from tessera.operators import matrix
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(30, 4)), rng.normal(size=(4, 6))
+    for cells in (0, 30, 10**6):
+        monkeypatch.setattr(matrix, "BROADCAST_CELLS", cells)
+        assert np.allclose((Matrix.from_numpy(spark, x) * Matrix.from_numpy(spark, y)).to_numpy(), x @ y)
+        assert np.allclose((Matrix.from_numpy(spark, y.T) * Matrix.from_numpy(spark, x.T)).to_numpy(), y.T @ x.T)

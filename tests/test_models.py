@@ -225,3 +225,33 @@ def test_rare_event():
     )
     found = crossentropy.rare_event_probability(context, 2000, 0.1, 50_000).extra["probability"]
     assert found == pytest.approx(math.exp(-15) * 16, rel=0.1)
+
+
+def test_small_singular_values_keep_their_digits(spark):
+    rng = np.random.default_rng(6)
+    q, _ = np.linalg.qr(rng.normal(size=(200, 3)))
+    x = q * np.array([1.0, 1e-6, 1e-11]) @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(7)
+    _, s, _ = multivariate.tall_svd(df, ["a", "b", "c"])
+    assert s == pytest.approx([1.0, 1e-6, 1e-11], rel=1e-4)
+
+
+def test_weights_are_checked(points):
+    _, _, df = points
+    assert multivariate.Cloud.checked(df, ["a", "b"], "w").variance() > 0
+    with pytest.raises(ValueError):
+        multivariate.Cloud.checked(df.withColumn("w", F.col("w") * 2), ["a"], "w")
+    with pytest.raises(ValueError):
+        multivariate.Cloud(df.withColumn("w", F.col("w") - 0.01), ("a",), "w").moments()
+    moved = multivariate.Cloud(df, ("a", "b"), "w").rebase(multivariate.Basis(np.diag([2.0, 4.0])))
+    assert moved.variance() == pytest.approx(multivariate.Cloud(df, ("a", "b"), "w").variance())
+    assert np.allclose(multivariate.Basis.standard(2).matrix, np.eye(2))
+
+
+def test_a_program_can_be_ended_early():
+    class Early(crossentropy.Continuous):
+        def stop_between(self, iteration, levels, parameters):
+            return iteration == 2
+
+    found = crossentropy.run(Early(lambda s: (s[:, 0] - 3) ** 2, np.zeros(1)), 100, 0.1)
+    assert found.iterations == 2 and not found.converged
