@@ -1,4 +1,7 @@
-"""Special functions: on columns as expressions, on numbers directly."""
+"""Special functions: on columns as expressions, on numbers directly.
+
+An argument stands many times in its expression: give a column rather than a long expression.
+"""
 
 from __future__ import annotations
 

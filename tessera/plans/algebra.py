@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import indexes
+from tessera.operators import indexes, multivariate
 from tessera.operators.frames import table
 from tessera.operators.matrix import Matrix
 
@@ -155,13 +155,35 @@ def mat_bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(low).cast("long").alias("lower"), F.lit(up).cast("long").alias("upper"))
 
 
-@query("SELECT 'symmetric' AS pattern, true AS holds UNION ALL SELECT 'square', true UNION ALL SELECT 'diagonal', false")
+_SQUARE = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_regionkey AS j, (n_nationkey + 1)::DOUBLE AS v FROM nation QUALIFY i < 5"
+
+
+def _bands(tests: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS pattern, {test} AS holds FROM w" for name, test in tests.items())
+
+
+@query(
+    f"""WITH c AS ({_SQUARE}), p AS (SELECT a.i::BIGINT AS i, b.i::INTEGER AS j, sum(a.v * b.v) AS v FROM c a JOIN c b USING (j) GROUP BY ALL),
+    w AS (SELECT greatest(0, max(i - j)) AS low, greatest(0, max(j - i)) AS up, bool_and(EXISTS (SELECT 1 FROM p q WHERE q.i = p.j AND q.j = p.i AND q.v = p.v)) AS even, bool_and(v = 0) AS odd FROM p WHERE v <> 0) """
+    + _bands({
+        "vector": "false", "row_vector": "false", "column_vector": "false", "scalar": "false", "square": "true", "symmetric": "even", "skew_symmetric": "odd", "diagonal": "low = 0 AND up = 0",
+        "lower_triangular": "up = 0", "upper_triangular": "low = 0", "triangular": "least(low, up) = 0", "lower_hessenberg": "up <= 1", "upper_hessenberg": "low <= 1", "hessenberg": "least(low, up) <= 1",
+        "tridiagonal": "greatest(low, up) <= 1", "lower_bidiagonal": "up = 0 AND low <= 1", "upper_bidiagonal": "low = 0 AND up <= 1", "bidiagonal": "least(low, up) = 0 AND greatest(low, up) <= 1",
+    })
+)
 def mat_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product of a matrix with its transpose is symmetric."""
-    c = _counts(spark, sf_dir)
-    found = (c.transpose() * c + Matrix.dense(spark, 5, 5, 1.0)).patterns()
-    rows = [(k, found[k]) for k in ("symmetric", "square", "diagonal")]
-    return spark.createDataFrame(rows, "pattern string, holds boolean")
+    """All patterns of a product of a matrix of nations by regions with its transpose."""
+    first = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(5)
+    cells = first.select((F.col("n_nationkey")).cast("long").alias("i"), F.col("n_regionkey").cast("int").alias("j"), (F.col("n_nationkey") + 1.0).alias("v"))
+    c = Matrix(cells, 5, 5)
+    return spark.createDataFrame(list((c * c.transpose()).patterns().items()), "pattern string, holds boolean")
+
+
+@query(f"WITH {_A}, {_N} SELECT i, j, round(CASE WHEN j IN (3, 60) THEN 2.5 WHEN i = n - 1 THEN 0 WHEN j = 7 THEN v + 1 ELSE v END, 6) + 0.0 AS v FROM a, n")
+def mat_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column from a matrix, then a row and two columns from numbers."""
+    m = _matrix(spark, sf_dir)
+    return _cells(m.assign(":", 7, m.slice(":", [7]) + 1.0).assign(m.n_rows - 1, ":", 0.0).assign(":", [3, 60], 2.5))
 
 
 @query("SELECT row_number() OVER (ORDER BY n_regionkey DESC) - 1 AS position, count(*) AS members FROM nation GROUP BY n_regionkey")
@@ -170,9 +192,9 @@ def mat_ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).ordered_rows().select(F.col("position").cast("long").alias("position"), F.size("members").cast("long").alias("members"))
 
 
-@query()
+@query("SELECT count(*)::BIGINT * 64 AS cells, true AS solved FROM embeddings")
 def mat_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The X with X * G = A, G a regular square: rows only, checked by multiplying back."""
+    """The X with X * G = A, G a regular square, checked by multiplying back."""
     m = _matrix(spark, sf_dir)
     g = m.gram() + Matrix.identity(spark, DIMS)
     x = m / g
@@ -196,8 +218,12 @@ def index_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", indexes.compare(F.col("x"), F.col("y")).alias("compared"))
 
 
-@query()
+@query(
+    f"""WITH {_A}, g AS (SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM a x JOIN a y USING (i) GROUP BY x.j, y.j), h AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM g x JOIN g y ON x.j = y.i GROUP BY x.i, y.j)
+    SELECT (SELECT count(DISTINCT i) FROM g)::BIGINT AS directions, round((SELECT ln(sum(v)) FROM g WHERE i = j), 8) AS squares, round((SELECT ln(sum(v * v)) FROM g), 8) AS fourths, round((SELECT ln(sum(g.v * h.v)) FROM g JOIN h USING (i, j)), 8) AS sixths"""
+)
 def mat_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Singular values of the embeddings from the gram matrix."""
-    values = np.sqrt(np.maximum(np.linalg.eigvalsh(_matrix(spark, sf_dir).gram().to_numpy())[::-1], 0))
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "k int, value double")
+    """Singular values of the embeddings, by their number and the logarithms of their power sums."""
+    wide = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(k)).alias(f"x{k}") for k in range(DIMS)])
+    values = np.linalg.svd(multivariate.triangular_factor(wide, wide.columns), compute_uv=False)
+    return spark.createDataFrame([(len(values), *[round(float(np.log((values**p).sum())), 8) for p in (2, 4, 6)])], "directions long, squares double, fourths double, sixths double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import stats
 from tessera.operators.frames import long, table
 
-from .registry import query, rounded
+from .registry import plain, query, rounded
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -115,6 +115,19 @@ def stat_min_max_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("variable", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("min", "max") for f in ("index", "value")])
 
 
+def _row_quantile_sql(p: float) -> str:
+    h = max(1.0, min(4.0, (4 + 1 / 3) * p + 1 / 3))
+    k = int(h)
+    return f"round(v[{k}] + {h - k!r} * (v[{min(k + 1, 4)}] - v[{k}]), 5) + 0.0"
+
+
+@query(f"SELECT {_KEY}, " + ", ".join(f"{_row_quantile_sql(p)} AS q{int(100 * p)}" for p in (0.1, 0.5, 0.8)) + f" FROM (SELECT *, list_sort({_LIST}) AS v FROM lineitem)")
+def stat_quantile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of each row's four numbers, without any shuffle."""
+    cells = [plain(stats.row_quantile(LINE, p), 5).alias(f"q{int(100 * p)}") for p in (0.1, 0.5, 0.8)]
+    return table(spark, sf_dir, "lineitem").select(*_KEY.split(", "), *cells)
+
+
 def _matrix_sql(f: str, digits: int) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, '{a}' AS variable_i, '{b}' AS variable_j, round({f}({a}, {b}), {digits}) + 0.0 AS value FROM lineitem" for i, a in enumerate(LINE) for j, b in enumerate(LINE))
 

@@ -12,7 +12,7 @@ from tessera.operators.categorical import encode
 from tessera.operators.frames import checkpoint_folder, table
 from tessera.operators.matrix import Matrix
 from tessera.sources import matrix_files
-from tessera.streaming.moments import windowed_moments
+from tessera.streaming.moments import windowed_contingency, windowed_covariance, windowed_moments
 
 from .registry import plain, query, rounded
 
@@ -60,14 +60,37 @@ def io_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, epoch(time_bucket(INTERVAL 1 day, ts))::BIGINT AS day, count(value)::BIGINT AS n, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 4) + 0.0 AS variance FROM events GROUP BY 1, 2")
 def stream_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments per day and type over the events as a stream."""
+    found = _streamed(spark, sf_dir, "moments", lambda e: windowed_moments(e, "ts", "value", "1 day", "30 days", ["event_type"]))
+    out = found.select("event_type", F.unix_timestamp("window.start").alias("day"), "n", "mean", "variance")
+    return rounded(rounded(out, 6, ["mean"]), 4, ["variance"])
+
+
+_DAYS = "epoch(time_bucket(INTERVAL 1 day, ts))::BIGINT AS day"
+
+
+def _streamed(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:  # noqa: ANN001
+    """The result of a windowed aggregation over the events as a stream."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"moments_{uuid.uuid4().hex}"
-    found = windowed_moments(events, "ts", "value", "1 day", "30 days", ["event_type"])
-    run = found.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    name = f"{what}_{uuid.uuid4().hex}"
+    run = make(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.table(name).select("event_type", F.unix_timestamp("window.start").alias("day"), "n", "mean", "variance")
-    return rounded(rounded(out, 6, ["mean"]), 4, ["variance"])
+    return spark.table(name)
+
+
+@query(f"SELECT {_DAYS}, round(covar_pop(value, value), 4) + 0.0 AS own, round(covar_pop(value, user_id::DOUBLE), 2) + 0.0 AS shared FROM events GROUP BY 1")
+def stream_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances per day over the events as a stream."""
+    make = lambda e: windowed_covariance(e.withColumn("user", F.col("user_id").cast("double")), "ts", ["value", "user"], "1 day", "30 days")
+    out = _streamed(spark, sf_dir, "covariance", make)
+    return out.select(F.unix_timestamp("window.start").alias("day"), plain(F.col("value_value"), 4).alias("own"), plain(F.col("value_user"), 2).alias("shared"))
+
+
+@query(f"SELECT {_DAYS}, event_type, user_id % 3 AS third, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def stream_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint counts per day over the events as a stream."""
+    make = lambda e: windowed_contingency(e.withColumn("third", F.col("user_id") % 3), "ts", "event_type", "third", "1 day", "30 days")
+    return _streamed(spark, sf_dir, "contingency", make).select(F.unix_timestamp("window.start").alias("day"), "event_type", "third", "n")
 
 
 @query("SELECT o_orderkey, round(sin(o_totalprice / 1000) * sqrt(o_totalprice), 6) + 0.0 AS v FROM orders")
