@@ -144,3 +144,42 @@ def test_segments_are_the_maximal_ones():
         found = toxicity.segments(np.array(s))
         assert [(a, b) for a, b, _ in found] == maximal_segments(s)
         assert all(abs(sum(s[a:b]) - x) < 1e-9 for a, b, x in found)
+
+
+def test_empty_tables_repeated_rows_and_ties(spark):
+    """Every classifier: an empty table gives no rows, repeated rows get equal scores, without a label there is a score all the same."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, "aa" if k % 2 else "bb", 40) + (" vile scum" if k % 5 == 0 else ""), k % 2) for k in range(60)]
+    rows += [rows[3]] * 30 + [(None, None, None), (None, "ka lo mi", None), (7, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    docs, labels = df.select("doc_id", "text").withColumn("label", F.lit("mine")).withColumn("n", F.lit(0)), df.select("doc_id", "label")
+    for module in (quality, toxicity):
+        model = module.fit(docs, labels)
+        got = module.score(docs, model).collect()
+        assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 3}) == 1 and all(0 <= r.score <= 1 for r in got)
+        assert module.score(docs.limit(0), model).count() == 0
+        again = module.fit(docs.repartition(7), labels.repartition(2))
+        assert [r.score for r in module.score(docs, again).orderBy("doc_id", "score").collect()] == pytest.approx([r.score for r in module.score(docs, model).orderBy("doc_id", "score").collect()])
+        assert module.score(docs, module.fit(docs.limit(0), labels)).count() == len(rows)
+    assert toxicity.without_toxic(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
+    known = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "bb").otherwise("aa"))
+    net, names = langid.fit(known)
+    got = langid.identify(docs, net, names).collect()
+    assert names == ["aa", "bb"] and len(got) == len(rows) and len({(r.lang_pred, r.score) for r in got if r.doc_id == 3}) == 1
+
+
+def test_letters_are_those_of_unicode():
+    assert all(langid.has_letter(t) for t in ("a", "1é", "ß", "日", "ª", "ʰ"))
+    assert not any(langid.has_letter(t) for t in (None, "", "5²", "½", "①", "12 !?", "_", "́"))
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    """Rows without ids, and rows that repeat one id, are sampled like others."""
+    from tessera.llm.common import labelled_sample, weighted_sample
+
+    made = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("x").alias("lang"))
+    rows, stands_for = weighted_sample(made, ["doc_id", "text"], 100, "lang")
+    assert 60 < rows.count() < 140 and stands_for["x"] == pytest.approx(30, rel=1e-3)
+    same = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
+    rows, stands_for = labelled_sample(same, spark.createDataFrame([(1, 1)], "doc_id long, label int"), 100)
+    assert 60 < rows.count() < 140 and stands_for[1] == pytest.approx(20, rel=1e-3)

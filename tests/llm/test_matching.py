@@ -364,3 +364,21 @@ def test_sparse_postings():
     q, c = (np.where(rng.random((n, 40)) < share, rng.integers(-9, 9, (n, 40)), 0).astype(float) for n, share in ((7, 0.5), (50, 0.1)))
     for scale in (1, 2.0**20, 2.0**40):
         assert (topk.accumulate(q * scale, c * scale).astype(float) == q @ c.T * scale**2).all()
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    item = " ".join(word() for _ in range(20))
+    long = " ".join(word() for _ in range(60_000))
+    assert set(leaks(spark, [(1, f"{long} {item} {long}"), (2, long)], [(1, item)])) == {(1, 1)}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.find_secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_equal_tokens_stand_or_fall_together(spark):
+    token = "q7Zk2Xw9Lm4Tv8Rb1Yc6"
+    rows = [(k, f"see {token} there and {'word ' * 30}") for k in range(20)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({tuple(map(tuple, r.found)) for r in got}) == 1

@@ -116,6 +116,7 @@ def test_odd_pages(spark, chain):
     assert found[4].text.split("\n")[:2] == ["A & B é c d", "Second one here."]
     assert "T\nOne" in found[5].text and "©" not in found[5].text and "no" not in found[5].text.split()
     assert found[6].n_chars == 10 * 20_000 - 1
+    assert html.extract(df.limit(0), chain).count() == 0
 
 
 def texts_in(page):
