@@ -17,6 +17,10 @@ from .frames import INF, cut_lineage, with_row_id, with_running
 from .matrix import Matrix
 
 
+#: Categories of a variable that are listed on the driver.
+CATEGORIES = 100_000
+
+
 @dataclass(frozen=True)
 class CategoricalFrame:
     """rows: row_id and a code column per variable; codebook: variable, code, label."""
@@ -39,8 +43,11 @@ class CategoricalFrame:
         return CategoricalFrame(rows.select("row_id", *chosen), self.codebook.where(F.col("variable").isin(*chosen)), chosen)
 
     def categories(self, variable: str) -> list[tuple[float, str]]:
-        """(code, label) of a variable, in order: a codebook is a driver-side list."""
-        return [(r.code, r.label) for r in self.codebook.where(F.col("variable") == variable).orderBy("code").collect()]
+        """(code, label) of a variable, in order, as a list on the driver, of CATEGORIES at most."""
+        held = self.codebook.where(F.col("variable") == variable).orderBy("code").limit(CATEGORIES + 1).collect()
+        if len(held) > CATEGORIES:
+            raise ValueError(f"{variable} has more than {CATEGORIES} categories")
+        return [(r.code, r.label) for r in held]
 
     def to_matrix(self, variable: str) -> Matrix:
         """A variable's codes as a column whose rows are named by the labels."""

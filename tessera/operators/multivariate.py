@@ -19,6 +19,8 @@ from .frames import fsum
 
 #: Points of a scaling: a square of their proximities is held on the driver.
 SCALING_POINTS = 4000
+#: Cells of a contingency table that is brought to the driver.
+DRIVER_CELLS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -277,11 +279,13 @@ def correspondence_of(table: np.ndarray) -> Correspondence:
 
 def contingency_array(cells: DataFrame, row: str, column: str, count: str) -> tuple[np.ndarray, list, list]:
     """A small contingency table on the driver: its sides are numbers of categories."""
-    held = cells.collect()
+    held = cells.limit(DRIVER_CELLS + 1).collect()
+    if len(held) > DRIVER_CELLS:
+        raise ValueError(f"a table of more than {DRIVER_CELLS} cells isn't brought to the driver")
     rows, cols = sorted({r[row] for r in held}), sorted({r[column] for r in held})
-    out = np.zeros((len(rows), len(cols)))
+    out, at, to = np.zeros((len(rows), len(cols))), {r: k for k, r in enumerate(rows)}, {c: k for k, c in enumerate(cols)}
     for r in held:
-        out[rows.index(r[row]), cols.index(r[column])] += r[count]
+        out[at[r[row]], to[r[column]]] += r[count]
     return out, rows, cols
 
 
@@ -319,6 +323,8 @@ def multiple_correspondence(data: CategoricalFrame) -> MultipleCorrespondence:
     column of anything that reaches the driver.
     """
     cats = [(v, code, label) for v in data.variables for code, label in data.categories(v)]
+    if len(cats) ** 2 > DRIVER_CELLS:
+        raise ValueError(f"the joint counts of {len(cats)} categories are too many for the driver")
     place = {(v, c): k for k, (v, c, _) in enumerate(cats)}
     codes = F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("c")) for v in data.variables])
     grouped = data.rows.groupBy(*data.variables).agg(F.count(F.lit(1)).alias("n")).select("n", codes.alias("z"))

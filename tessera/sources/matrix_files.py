@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.categorical import CategoricalFrame, Codebook
@@ -58,9 +58,16 @@ def write_csv(m: Matrix, path: str, sparse: bool = False) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a file or folder in order: n, line."""
+    """The lines of a file or folder in order: n, line.
+
+    Lines of a block of a file come behind each other in its task, so that a count for each
+    block is enough to number them where they are: nothing is ordered or shuffled.
+    """
     held = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
-    return with_row_id(held, ["f", "b", "k"], "n").select("n", F.col("value").alias("line"))
+    blocks = held.groupBy("f", "b").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("first"))
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.select("f", "b", "first", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    return held.join(blocks, ["f", "b"]).select((F.col("before") + F.col("k") - F.col("first")).alias("n"), F.col("value").alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str) -> Matrix:
