@@ -184,3 +184,18 @@ def test_supplementary_individuals_and_json(spark):
         data.disjoin(supplementary=more.withColumn("u", F.lit(7.0)))
     back = matrix_files.read_categorical_json(matrix_files.categorical_json(data, "d"))
     assert sorted(map(tuple, back.decode().collect())) == sorted(map(tuple, data.decode().collect()))
+
+
+def test_parts_in_long_and_packed_form(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], float(k)) for k in range(7)], "i long, v string, x double")
+    packed = part.by_value(df, "i", "v")
+    assert sorted(map(tuple, part.to_labels(packed).collect())) == sorted(map(tuple, part.labels_by_value(df, "i", "v").collect())) == [(k, "ab"[k % 2]) for k in range(7)]
+    assert part.part_of(packed, "b").first().members == [1, 3, 5] and part.part_of(packed, "c").count() == 0
+
+
+def test_pairs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(part, "PAIRS", 20)
+    df = spark.range(8).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    with pytest.raises(ValueError, match="28|all pairs"):
+        part.distances(df, "id", "x")
+    assert part.distances(df.limit(6), "id", "x").count() == 15
