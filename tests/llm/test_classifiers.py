@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -183,3 +184,141 @@ def test_samples_are_bounded_whatever_the_ids(spark):
     same = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
     rows, stands_for = labelled_sample(same, spark.createDataFrame([(1, 1)], "doc_id long, label int"), 100)
     assert 60 < rows.count() < 140 and stands_for[1] == pytest.approx(20, rel=1e-3)
+
+
+def plain_pooled(net, data, size):
+    """Best response of each filter over `size` places, byte by byte; zeros follow the data."""
+    padded = list(data) + [0] * (size + net.reach)
+    out = []
+    for f in net.filters:
+        for c in range(f.shape[2]):
+            out.append(max(sum(float(net.embedding[padded[p + k]] @ f[k, :, c]) for k in range(f.shape[0])) for p in range(size)))
+    return np.array(out)
+
+
+def plain_windows(data, size, step, reach):
+    """(bytes with what follows, own bytes) of windows that cover the data."""
+    starts = [0]
+    while starts[-1] + size < len(data):
+        starts.append(starts[-1] + step)
+    return [(data[s : min(len(data), s + size + reach)], max(1, min(size, len(data) - s))) for s in starts]
+
+
+def plain_logits(net, pooled):
+    return np.maximum(pooled + net.bias, 0) @ net.dense + net.offset
+
+
+def small_net(classes, dtype=np.float32):
+    rng = np.random.default_rng(8)
+    widths, count, dims = (6, 4, 2), 2, 3
+    return bytecnn.ByteCNN(
+        widths, rng.normal(size=(256, dims)).astype(dtype), [rng.normal(size=(w, dims, count)).astype(dtype) for w in widths],
+        rng.normal(size=6).astype(dtype), rng.normal(size=(6, classes)).astype(dtype), rng.normal(size=classes).astype(dtype),
+    )
+
+
+TEXTS = ["short", "exactly " * 32, "x" * 257, "Ünïcode text, 12 and more of it. " * 30, "a b " * 300, "é" * 128]
+
+
+def test_languages_against_plain_convolution(spark):
+    net, names = small_net(3), ["aa", "bb", "cc"]
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(df, net, names).collect()}
+    for k, text in enumerate(TEXTS):
+        folded = bytes(langid._FOLD[np.frombuffer(text.encode(), np.uint8)])
+        parts = plain_windows(folded, langid.SIZE, langid.SIZE, net.reach)
+        z = sum(plain_logits(net, plain_pooled(net, data, langid.SIZE)) * own for data, own in parts) / sum(own for _, own in parts)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[k].lang_pred == names[int(p.argmax())] and got[k].score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_quality_against_plain_convolution(spark):
+    net = small_net(2)
+    rng = np.random.default_rng(9)
+    model = {"net": net, "centre": rng.normal(size=9), "scale": rng.random(9) + 1, "weights": rng.normal(size=10) / 5}
+    df = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    for k, text in [*enumerate(TEXTS), (99, "")]:
+        parts = plain_windows(text.encode(), quality.SIZE, quality.STEP, net.reach)
+        pooled = [plain_pooled(net, data, quality.SIZE) for data, _ in parts]
+        odds = [float(np.diff(plain_logits(net, x))[0]) for x in pooled]
+        mean = sum(o * own for o, (_, own) in zip(odds, parts, strict=True)) / sum(own for _, own in parts)
+        f = np.array([mean, max(odds), min(odds), *np.maximum(np.max(pooled, axis=0) + net.bias, 0)])
+        z = (f - model["centre"]) / model["scale"] @ model["weights"][:-1] + model["weights"][-1]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def plain_toxicity(rows):
+    """rows (text, label) -> score of a text, by the description: counts, segments, extreme values, logistic curve."""
+    words = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    docs = (sum(y for _, y in rows), sum(1 - y for _, y in rows))
+    counts = {}
+    for text, y in rows:
+        for w in set(words(text)):
+            t, c = counts.get(w, (0, 0))
+            counts[w] = (t + y, c + 1 - y)
+    share = docs[0] / sum(docs)
+    counts = {w: (t, c) for w, (t, c) in counts.items() if t + c >= 3 and abs(t - (t + c) * share) > 2 * math.sqrt((t + c) * share * (1 - share))}
+
+    def weight(w, out=None):
+        if w not in counts:
+            return -toxicity.DRIFT
+        (t, c), (a, b) = counts[w], docs
+        if out is not None:
+            t, c, a, b = t - out, c - (1 - out), a - out, b - (1 - out)
+        odds = math.log((t + 0.5) / (a + 1)) - math.log((c + 0.5) / (b + 1))
+        left = abs(odds) - toxicity.ERRORS * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        return math.copysign(left, odds) if left >= toxicity.LEAST else -toxicity.DRIFT
+
+    def found(text, out=None):
+        s = [weight(w, out) for w in words(text)]
+        return s, [sum(s[a:b]) for a, b in maximal_segments(s)]
+
+    seen = [(y, *found(t, y)) for t, y in rows]
+    clean = [round(x, 3) for y, s, _ in seen if y == 0 for x in s]
+    below = [x for x in clean if x < 0]
+    cells = [x for x in clean if x > 0] + [sum(below) / len(below)] * len(below)
+    if sum(cells) < 0:
+        lo, hi = 1e-6, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.mean(np.exp(mid * np.array(cells))) < 1 else (lo, mid)
+        rate = min(hi, 1.0)
+    else:
+        rate = 1e-3
+    best = [len(s) * math.exp(-rate * max(g, default=0.0)) for y, s, g in seen if y == 0 and s]
+    scale = len(best) / sum(best)
+
+    def statistic(s, g):
+        normal = sorted((rate * x - math.log(scale * len(s)) for x in g), reverse=True)
+        top = 0.0
+        for r in range(1, len(normal) + 1):
+            if normal[r - 1] <= 0:
+                break
+            total = sum(normal[:r])
+            top = max(top, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
+        return math.log1p(max(normal[0], 0.0) if normal else 0.0), math.log1p(top)
+
+    x = np.array([[*statistic(s, g), 1.0] for _, s, g in seen])
+    y = np.array([y for y, _, _ in seen])
+    w = np.zeros(3)
+    for _ in range(300):  # damped Newton steps on the penalised likelihood
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        penalty = np.array([0.1, 0.1, 1e-6])
+        w -= 0.5 * np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    return lambda text: 1 / (1 + math.exp(-float(np.array([*statistic(*found(text)), 1.0]) @ w)))
+
+
+def test_toxicity_against_plain_python(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(240):
+        words = prose(rng, "aa", rng.randrange(5, 30)).split()
+        for _ in range(rng.choice([1, 2, 3]) if k % 6 == 0 else rng.choice([0, 0, 0, 0, 1])):
+            words.insert(rng.randrange(len(words)), rng.choice(["vile", "scum", "awful"]))
+        rows.append((k, " ".join(words), int(k % 6 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    score = plain_toxicity([(t, y) for _, t, y in rows])
+    for r in toxicity.score(df.select("doc_id", "text"), model).collect():
+        assert r.score == pytest.approx(score(rows[r.doc_id][1]), abs=2e-3)

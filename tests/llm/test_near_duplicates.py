@@ -109,9 +109,13 @@ def test_shingles_of_slices():
     assert (np.diff(found[offsets[0] : offsets[1]].astype(object)) > 0).all()
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_components_against_union_find(spark, monkeypatch, hot):
+    from tessera.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", hot)
     rng = random.Random(2)
-    edges = [(rng.randrange(-50, 300), rng.randrange(-50, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000 + k) for k in range(200)]
+    edges = [(rng.randrange(-50, 300), rng.randrange(-50, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000 + k) for k in range(200)] + [(9000, 8000 + k) for k in range(150)] + [(8007, 5003)]
     parent = {}
 
     def find(x):
