@@ -22,6 +22,8 @@ from tessera.operators.matrix import COMPLEX, Matrix
 #: The words and numbers of the formats.
 DENSE, SPARSE, DOUBLE, COMPLEX_TYPE = "Dense", "Sparse", "Double", "Complex"
 SCHEMES = {"Dense": 0, "CompressedRow": 1}
+#: Names of rows that a matrix holds on the driver.
+NAMES = 1_000_000
 
 
 def _text_of(m: Matrix, v: Column) -> Column:
@@ -99,7 +101,10 @@ def read_csv(spark: SparkSession, path: str) -> Matrix:
         entries = body.select((F.col("n") - 2).alias("i"), F.posexplode(cells).alias("j", "x")).select("i", "j", value(F.col("x")).alias("v"))
         named = lines.where("n = 1").first().line.split(",")[1:]
         cols = {j: x for j, x in enumerate(named) if x.strip()}
-        rows = {r.i: r.name for r in body.where("trim(t[0]) <> ''").select((F.col("n") - 2).alias("i"), F.col("t")[0].alias("name")).collect()}
+        named = body.where("trim(t[0]) <> ''").select((F.col("n") - 2).alias("i"), F.col("t")[0].alias("name")).limit(NAMES + 1).collect()
+        if len(named) > NAMES:
+            raise ValueError(f"more than {NAMES} rows have names")
+        rows = {r.i: r.name for r in named}
     return Matrix(entries, n_rows, n_cols, head[3] or None, rows, cols)
 
 
@@ -110,8 +115,12 @@ def matrix_json(m: Matrix, sparse: bool = False) -> DataFrame:
     if sparse:
         held = m.entries.where(m.field.nonzero(F.col("v"))).select("i", "j", value.alias("x"))
         listed = held.agg(F.array_sort(F.collect_list(F.struct("i", "j", "x"))).alias("e"))
-        # entries come by row: where a row begins is where the first entry of it or of a later one stands
-        row_index = F.transform(F.sequence(F.lit(0), F.lit(m.n_rows)), lambda r: F.size(F.filter("e", lambda c: c.i < r)))
+        # where each row begins: running counts of entries by row, which end up in one row like all else
+        counts = held.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+        running = m.spark.range(m.n_rows).join(counts, F.col("id") == F.col("i"), "left").select("id", F.sum(F.coalesce("c", F.lit(0))).over(Window.orderBy("id")).alias("to"))
+        begins = running.agg(F.array_sort(F.collect_list(F.struct("id", "to"))).alias("r"))
+        row_index = F.concat(F.array(F.lit(0).cast("long")), F.col("r.to"))
+        listed = listed.crossJoin(begins)  # a row each
         body = listed.select(F.struct(F.lit(SCHEMES["CompressedRow"]).alias("StorageScheme"), *shape, F.size("e").alias("Capacity"), F.col("e.x").alias("Values"), F.col("e.j").alias("Columns"), row_index.alias("RowIndex")).alias("Implementor"))
     else:
         held = m.filled().select("j", "i", value.alias("x"))
@@ -137,9 +146,11 @@ def read_matrix_json(df: DataFrame, column: str = "json") -> Matrix:
     if inner["StorageScheme"] == SCHEMES["Dense"]:
         cells = parsed.select(F.posexplode("Storage").alias("p", "x")).select((F.col("p") % n).cast("long").alias("i"), F.floor(F.col("p") / n).cast("int").alias("j"), "x")
     else:
-        at = parsed.select("RowIndex", F.posexplode(F.arrays_zip("Columns", "Values")).alias("p", "z"))
-        row = F.size(F.filter("RowIndex", lambda r: r <= F.col("p"))) - 1
-        cells = at.select(row.cast("long").alias("i"), F.col("z.Columns").alias("j"), F.col("z.Values").alias("x"))
+        at = parsed.select(F.posexplode(F.arrays_zip("Columns", "Values")).alias("p", "z"))
+        begins = F.zip_with(F.slice("RowIndex", F.lit(1), F.size("RowIndex") - 1), F.slice("RowIndex", F.lit(2), F.size("RowIndex") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        held = parsed.select(F.posexplode(begins).alias("i", "r")).where("r.b > r.a")
+        rows = held.select(F.col("i").cast("long").alias("i"), F.explode(F.sequence(F.col("r.a"), F.col("r.b") - 1)).alias("p"))
+        cells = at.join(rows, "p").select("i", F.col("z.Columns").alias("j"), F.col("z.Values").alias("x"))
     v = F.struct(F.col("x.Real").alias("re"), F.col("x.Imag").alias("im")) if entry != "double" else F.col("x")
     names = lambda d: {int(k): x for k, x in (d or {}).items()}
     return Matrix(cells.select("i", "j", v.alias("v")), n, inner["NumberOfColumns"], shape.get("Name"), names(shape.get("RowNames")), names(shape.get("ColumnNames")))
