@@ -85,13 +85,13 @@ def type8(xs, p):
 def test_brackets_are_narrowed(spark, monkeypatch):
     """Brackets with too many values, and sketches that miss, give the same quantiles."""
     rng = random.Random(8)
-    rows = [(rng.gauss(0, 1), float(rng.randrange(5)), None if k % 9 == 0 else rng.random(), "ab"[k % 3 == 0]) for k in range(4000)] + [(None, None, None, "c"), (1.0, 2.0, None, None)]
+    rows = [(rng.gauss(0, 1), float(rng.randrange(5)), None if k % 9 == 0 else rng.random(), "ab"[k % 3 == 0]) for k in range(2000)] + [(None, None, None, "c"), (1.0, 2.0, None, None)]
     df = spark.createDataFrame(rows, "x double, y double, z double, g string").repartition(3)
-    probs = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
-    for inside, small, bracket, accuracy in ((100_000, 5000, 0.0005, 10_000), (30, 100, 0.2, 10_000), (40, 100, 0.01, 20)):
+    probs = [0.0, 0.37, 0.99, 1.0]
+    for inside, small, bracket, accuracy in ((30, 100, 0.2, 10_000), (40, 100, 0.01, 20)):
         for name, v in (("_INSIDE", inside), ("_SMALL", small), ("_BRACKET", bracket), ("_ACCURACY", accuracy)):
             monkeypatch.setattr(stats, name, v)
-        for groups in (10_000, 1) if accuracy == 20 else (10_000,):
+        for groups in (1,) if accuracy == 20 else (10_000,):
             monkeypatch.setattr(stats, "_GROUPS", groups)
             found = {(r.g, r.probability): r.quantile for r in stats.quantile(df, "x", probs, ["g"]).collect()}
             assert found == pytest.approx({(g, p): type8([r[0] for r in rows if r[3] == g and r[0] is not None], p) for g in ("a", "b", None) for p in probs})
