@@ -2,16 +2,42 @@
 
 Edges live in tables throughout; the driver learns only whether stars are all that is
 left.  A star's centre may touch any share of all edges: minima are taken with
-map-side combining, and the join that brings them back is one that adaptive
-execution can split.
+map-side combining, and in the join that brings them back nodes of more than HOT edges
+are dealt over SALTS tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, filter_of, in_filter, materialize
+
+#: Edges of a node from which they are dealt over several tasks, and over how many.
+HOT, SALTS = 1000, 64
+
+
+def _looked_up(edges: DataFrame, node: str, other: str, values: DataFrame) -> DataFrame:
+    """edges with the columns that values, of one row a node, has for `node` (null where it has none).
+
+    Nodes with many edges are marked by a filter of a fixed 8 MB, alike on both sides, so
+    that a node that it marks by mistake is dealt over several tasks as well and nothing is lost.
+    """
+    hot = edges.groupBy(node).count().where(F.col("count") > HOT).select(F.xxhash64(node).alias("h"))
+    if hot.isEmpty():
+        return edges.join(values, node, "left")
+    spread = edges.sparkSession.sparkContext.broadcast(filter_of(hot))
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(spread.value, h.to_numpy(np.int64)))
+
+    many = marked(F.xxhash64(node))
+    left = edges.withColumn("_hot", many).withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    right = values.withColumn("_hot", many).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))).drop("_hot")
+    return left.join(right, [node, "_salt"], "left").drop("_salt")
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -24,16 +50,15 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least of its neighbourhood."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Each node links its larger neighbours to the least of its neighbourhood. Edges hold u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+    return _looked_up(edges.select("u", "v"), "v", "u", least).select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the least of them. Edges hold u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    near = edges.join(least, "u")
+    near = _looked_up(edges.select("u", "v"), "u", "v", least)
     return near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -45,7 +70,9 @@ def stars(edges: DataFrame) -> DataFrame:
     tidy = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(tidy, "edges")
     while not _stars(now):
-        new = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        large = materialize(_large_star(now).distinct(), "edges")
+        new = materialize(_small_star(large).distinct(), "edges")
+        drop_materialized(large)
         drop_materialized(now)
         now = new
     return now
