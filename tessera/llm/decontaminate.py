@@ -153,12 +153,12 @@ def _entire(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
     counts = np.diff(first)
     out = []
     for k, (own, values, begin) in enumerate(((tokens, none, first), templates(column))):
-        size = np.diff(begin)
+        size, told = np.diff(begin), np.concatenate([[0], np.cumsum(values == 0)])
         held = []
         for width in range(1, SHORTEST):
             row = np.flatnonzero((size == width) & (counts < SHORTEST))
-            words = np.add.reduceat(np.append(values == 0, False).astype(int), begin[row])[: len(row)] if len(row) else row
-            row = row[(words >= 2) | (k == 0)] if len(row) else row
+            if k:
+                row = row[told[begin[row] + width] - told[begin[row]] >= 2]
             h = window_hashes(own, width)[begin[row]] if len(row) else np.zeros(0, np.uint64)
             held.append((mix((h + U(width + 64 * k)) ^ _WHOLE), row, np.zeros(len(row), np.int64), np.full(len(row), width), begin[row]))
         h, r, p, w, at = (np.concatenate(x) for x in zip(*held, strict=True))

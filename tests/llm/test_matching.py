@@ -187,6 +187,13 @@ def test_short_and_slot_heavy_items(spark):
     assert found[15, 1].changed == 1 and found[10, 1].changed == 0
 
 
+def test_short_items_of_one_word_as_they_stand(spark):
+    items = [(1, "Berlin 5 km"), (2, "some quite other words"), (3, "walk 5 miles away")]
+    docs = [(k, t) for k, t in enumerate(["Berlin 6 km", "some words", "Berlin 5 km!", "", "walk 9 miles away", "walk 9 km away", "walk off", "Some quite other words?"])]
+    df = [(k, t) for k, t in docs]
+    assert set(leaks(spark, df, items)) == {(2, 1), (4, 3), (5, 3), (7, 2)}
+
+
 def test_a_run_lies_on_one_line(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
