@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import drop_materialized, filter_of, in_filter, materialize
 
 #: Edges of a node from which they are dealt over several tasks, and over how many.
-HOT, SALTS = 1000, 64
+HOT, SALTS = 256, 32
 
 
 def _looked_up(edges: DataFrame, node: str, other: str, values: DataFrame) -> DataFrame:

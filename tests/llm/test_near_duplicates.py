@@ -109,7 +109,7 @@ def test_shingles_of_slices():
     assert (np.diff(found[offsets[0] : offsets[1]].astype(object)) > 0).all()
 
 
-@pytest.mark.parametrize("hot", [1000, 5])
+@pytest.mark.parametrize("hot", [256, 5])
 def test_components_against_union_find(spark, monkeypatch, hot):
     from tessera.llm import components as module
 
